@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrowfile, media, minhash, packing, secrets
+from . import arrowfile, media, minhash, packing, quality, secrets, toxicity
 from ._common import table
 from .tokens import vocabulary
 
@@ -14,10 +14,18 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predicted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Setting(words=2))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predicted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_arrow_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = arrowfile.write(table(spark, sf_dir, "documents"), arrowfile.folder(spark), vocabulary("byte_bpe_50k.json"), end_id=2)
     return arrowfile.digests(notes)
@@ -36,7 +44,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_media, op6_minhash, op8_arrow_file, op9_packing, op10_secrets)}
+    return {f.__name__: f for f in (op1_media, op3_toxicity, op6_minhash, op7_quality, op8_arrow_file, op9_packing, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
