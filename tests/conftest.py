@@ -23,6 +23,9 @@ def spark(tmp_path_factory):
     }
     session = SparkSession.builder.config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
+    from tidewater import ship
+
+    ship(session)
     yield session
     session.stop()
 

@@ -1,0 +1,21 @@
+"""Analytics and data preparation on Spark."""
+
+from __future__ import annotations
+
+import shutil
+import tempfile
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each application."""
+    context = spark.sparkContext
+    if getattr(context, "_tidewater_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    into = Path(tempfile.mkdtemp(prefix="spark-"))
+    shutil.copytree(here, into / "src" / here.name, ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(str(into / here.name), "zip", into / "src"))
+    context._tidewater_shipped = True
