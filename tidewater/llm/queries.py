@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrowfile, media, minhash, packing, quality, secrets, substring, toxicity
+from . import arrowfile, embeddings, media, minhash, packing, quality, secrets, substring, toxicity
 from ._common import table
 from .tokens import vocabulary
 
@@ -23,6 +23,10 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Setting(words=2))
 
@@ -49,7 +53,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_media, op3_toxicity, op4_substring, op6_minhash, op7_quality, op8_arrow_file, op9_packing, op10_secrets)}
+    return {f.__name__: f for f in (op1_media, op3_toxicity, op4_substring, op5_embeddings, op6_minhash, op7_quality, op8_arrow_file, op9_packing, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
