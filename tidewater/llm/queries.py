@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrowfile, embeddings, media, minhash, packing, quality, secrets, substring, toxicity
+from . import arrowfile, bpe, embeddings, media, minhash, packing, quality, secrets, substring, toxicity
 from ._common import table
 from .tokens import vocabulary
 
@@ -14,6 +14,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predicted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,7 +57,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_media, op3_toxicity, op4_substring, op5_embeddings, op6_minhash, op7_quality, op8_arrow_file, op9_packing, op10_secrets)}
+    return {f.__name__: f for f in (op1_media, op2_bpe, op3_toxicity, op4_substring, op5_embeddings, op6_minhash, op7_quality, op8_arrow_file, op9_packing, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
