@@ -158,20 +158,22 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
 
     Null texts are empty; texts without words are linked with nothing; a null doc_id stays alone; rows that share a
     doc_id are one node, to which all their links lead.
+
+    Both sides of a join grow with the corpus, so the joins are merges at every size.
     """
     docs = documents(docs)
     sketched = stored(docs.mapInArrow(_sketch_task(setting), "doc_id long, n_shingles long, digest binary, bands array<long>"), "sketches")
     solid = sketched.where("n_shingles > 0 and doc_id is not null")
     classes = stored(solid.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
-    nodes = solid.select("doc_id", "n_shingles", "digest", "bands").join(classes.withColumnRenamed("node", "doc_id"), ["digest", "n_shingles", "doc_id"], "left_semi")
+    nodes = solid.select("doc_id", "n_shingles", "digest", "bands").join(classes.withColumnRenamed("node", "doc_id").hint("merge"), ["digest", "n_shingles", "doc_id"], "left_semi")
     keys = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
     stars = keys.groupBy("band").agg(F.min("node").alias("star"), F.max("node").alias("last")).where("star != last").select("band", "star")
-    pairs = stored(keys.join(stars, "band").where("star != node").select("star", F.col("node").alias("member")).distinct(), "pairs")
+    pairs = stored(keys.join(stars.hint("merge"), "band").where("star != node").select("star", F.col("node").alias("member")).distinct(), "pairs")
 
     wanted = pairs.select(F.col("star").alias("doc_id")).union(pairs.select("member")).distinct()
-    texts = stored(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("member"), "text"), "member")
-    both = both.join(texts.select(F.col("doc_id").alias("star"), F.col("text").alias("star_text")), "star").select("star", "member", "star_text", "text")
+    texts = stored(docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    both = pairs.join(texts.select(F.col("doc_id").alias("member"), "text").hint("merge"), "member")
+    both = both.join(texts.select(F.col("doc_id").alias("star"), F.col("text").alias("star_text")).hint("merge"), "star").select("star", "member", "star_text", "text")
     checked = stored(both.mapInArrow(_confirm_task(setting), "star long, member long, linked boolean"), "checked")
     edges = checked.where("linked").select(F.col("star").alias("a"), F.col("member").alias("b"))
     known = components(edges)
@@ -179,7 +181,7 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     edges = edges.union(_open_edges(checked, known, texts, setting))
     known = components(edges)
     member = classes.join(known, "node", "left").select("digest", "n_shingles", F.coalesce("component", "node").alias("component"))
-    out = sketched.select("doc_id", "n_shingles", "digest").join(member, ["digest", "n_shingles"], "left")
+    out = sketched.select("doc_id", "n_shingles", "digest").join(member.hint("merge"), ["digest", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -193,5 +195,5 @@ def _open_edges(checked: DataFrame, known: DataFrame, texts: DataFrame, setting:
     common = ["star", "node", "component"]
     opened = rows.where("is_open").select(*common, F.lit(True).alias("open"), F.pmod(at, F.col("across")).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("down") - 1)).alias("y"))
     others = rows.select(*common, F.lit(False).alias("open"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1)).alias("x"), F.pmod(at, F.col("down")).alias("y"))
-    blocks = opened.union(others).join(texts.withColumnRenamed("doc_id", "node"), "node")
+    blocks = opened.union(others).join(texts.withColumnRenamed("doc_id", "node").hint("merge"), "node")
     return stored(blocks.groupBy("star", "x", "y").applyInArrow(_open_task(setting), "a long, b long"), "open-links")
