@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,6 +169,19 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     return documents(docs).mapInArrow(task, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores the threshold or more."""
+    at = docs.columns.index("text")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_within(batches, at, 4 << 20):
+            texts = pc.fill_null(batch.column(at), "")
+            good = model.score(features(texts)) >= threshold if model else np.full(batch.num_rows, 0.5 >= threshold)
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(task, docs.schema)
+
+
 def predicted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted. A null text is empty and gets a score too; a null doc_id isn't held out."""
     scored = score(docs, train(docs, labels, sample))
