@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import scalars
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/nation.parquet")
 
 
 def queries() -> dict:
-    return {}
+    return scalars.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return scalars.oracle_sql()
