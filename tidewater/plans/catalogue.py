@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import scalars
+from . import relational, scalars, statements
+
+PARTS = (scalars, relational, statements)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return relational.queries()["flagship"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return scalars.queries()
+    return {name: query for part in PARTS for name, query in part.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return scalars.oracle_sql()
+    return {name: sql for part in PARTS for name, sql in part.oracle_sql().items()}
