@@ -40,15 +40,3 @@ def documents(docs: DataFrame) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """The fold that no label is learnt from: crc32 of the id as text, mod 3, is 1."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
-
-
-def slices(texts: list[str], chars: int = 8_000_000):
-    """(from, to) of runs of texts with about so many characters, one text at least."""
-    at = size = 0
-    for k, x in enumerate(texts):
-        if size and size + len(x) > chars:
-            yield at, k
-            at, size = k, 0
-        size += len(x)
-    if at < len(texts):
-        yield at, len(texts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrowfile, bpe, embeddings, media, minhash, packing, quality, secrets, substring, toxicity
+from . import arrowfile, bpe, embeddings, media, minhash, oracle, packing, quality, secrets, substring, toxicity
 from ._common import table
 from .tokens import vocabulary
 
@@ -61,4 +61,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_substring": oracle.substring(), "op5_embeddings": oracle.embeddings(), "op6_minhash": oracle.minhash(), "op10_secrets": oracle.secrets()}
