@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ._common import documents, stored
 from .graph import components
 from .tokens import rows_within
-from .words import GOLD, WORD_MASK, mix, runs, shingles
+from .words import GOLD, HASHED, WORD_MASK, mix, runs, shingles
 
 
 @dataclass(frozen=True)
@@ -70,7 +70,7 @@ TURN = 0xA24BAED4963EE407
 
 def _sketch_task(setting: Setting):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_within(batches, 1, 4 << 20):
+        for batch in rows_within(batches, 1, HASHED):
             found, offsets = shingles(batch.column(1), setting.words)
             counts = np.diff(offsets)
             values = sketches(found, offsets, setting.bins)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ._common import documents, held_out
 from .tokens import rows_within
-from .words import BLANK, buffer, shingles, words
+from .words import BLANK, HASHED, buffer, shingles, words
 
 #: Rows of a class and unlabelled rows that a model is fitted on at most. Rows are taken by a hash of their id.
 SAMPLE = 4_000
@@ -68,7 +68,7 @@ def features(texts: pa.Array) -> np.ndarray:
 
 
 def _feature_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in rows_within(batches, 1, 4 << 20):
+    for batch in rows_within(batches, 1, HASHED):
         yield pa.record_batch([batch.column(0), pa.array(list(features(batch.column(1))), pa.list_(pa.float64()))], names=["doc_id", "x"])
 
 
@@ -162,7 +162,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id and score of every row: the chance that a text is good. Without a model every score is 0.5."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_within(batches, 1, 4 << 20):
+        for batch in rows_within(batches, 1, HASHED):
             got = model.score(features(batch.column(1))) if model else np.full(batch.num_rows, 0.5)
             yield pa.record_batch([batch.column(0), pa.array(got, pa.float64())], names=["doc_id", "score"])
 
@@ -174,7 +174,7 @@ def accepted(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> Da
     at = docs.columns.index("text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_within(batches, at, 4 << 20):
+        for batch in rows_within(batches, at, HASHED):
             texts = pc.fill_null(batch.column(at), "")
             good = model.score(features(texts)) >= threshold if model else np.full(batch.num_rows, 0.5 >= threshold)
             yield batch.filter(pa.array(good))

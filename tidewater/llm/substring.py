@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ._common import stored
 from .fmindex import FMIndex
 from .tokens import rows_within
-from .words import runs, words
+from .words import HASHED, runs, words
 
 #: Words of a window, and of an anchor in it.
 LENGTH, GRAM = 50, 16
@@ -54,7 +54,7 @@ def anchors(hashes: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
 
 def _anchor_task(length: int, gram: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_within(batches, 2, 4 << 20):
+        for batch in rows_within(batches, 2, HASHED):
             doc, begin, size, anchor, segment = anchors(*words(batch.column(2)), length, gram)
             rows = pa.array(doc)
             yield pa.record_batch(
@@ -70,7 +70,7 @@ def _segment_task(length: int):
     names = ["shard", "split", "anchor", "segment"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_within(batches, 1, 4 << 20):
+        for batch in rows_within(batches, 1, HASHED):
             hashes, offsets = words(batch.column(1))
             flat = np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, 8 - BYTES :]
             lists = batch.column(2)

@@ -13,7 +13,8 @@ import pyarrow.compute as pc
 #: A place where a text can be cut: no piece of the byte-level pattern goes from a visible character over a space.
 CUT = re.compile(r"(?<=\S)(?= )")
 #: The same for RE2, which has no look-behind: white space of Unicode is spelt out.
-VISIBLE_THEN_SPACE = r"([^\s\v\p{Z}\x{85}\x{1c}-\x{1f}]) "
+BLANKS = r"\s\v\p{Z}\x{85}\x{1c}-\x{1f}"
+VISIBLE_THEN_SPACE, BLANK_THEN_SPACE = f"([^{BLANKS}]) ", f"[{BLANKS}] "
 #: A noncharacter that marks the cuts; texts that hold it are cut by CUT.
 MARK = "\U0010ffff"
 
@@ -31,7 +32,10 @@ def pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     if pc.any(pc.match_substring(texts, MARK)).as_py():
         lists = pa.array([CUT.split(x) for x in texts.to_pylist()], pa.large_list(pa.large_string()))
     else:
-        lists = pc.split_pattern(pc.replace_substring_regex(texts, VISIBLE_THEN_SPACE, rf"\1{MARK} "), MARK)
+        marked, odd = pc.replace_substring(texts, " ", f"{MARK} "), pc.match_substring_regex(texts, BLANK_THEN_SPACE)
+        if pc.any(odd).as_py():  # the slower way only where a space may follow a blank
+            marked = pc.replace_with_mask(marked, odd, pc.replace_substring_regex(texts.filter(odd), VISIBLE_THEN_SPACE, rf"\1{MARK} "))
+        lists = pc.split_pattern(marked, MARK)
     return lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
 
 
@@ -48,7 +52,7 @@ class Remembered:
     encode(list of strings) gives (ids of all strings, how many each has).
     """
 
-    def __init__(self, encode, keep: int = 600_000) -> None:
+    def __init__(self, encode, keep: int = 300_000) -> None:
         self.encode, self.keep = encode, keep
         self._forget()
 
@@ -115,7 +119,7 @@ def piece_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def rows_within(batches, column: int, most: int = 16 << 20):
+def rows_within(batches, column: int, most: int = 8 << 20):
     """Record batches cut so that the column (and one row at least) has about so many bytes in each."""
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -123,4 +127,5 @@ def rows_within(batches, column: int, most: int = 16 << 20):
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
             yield batch.slice(at, to - at)
+            pa.default_memory_pool().release_unused()
             at = to

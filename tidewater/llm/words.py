@@ -12,6 +12,8 @@ BASE = 0xD6E8FEB86659FD93
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 GOLD = 0x9E3779B97F4A7C15
 WORD_MASK = (1 << 64) - 1
+#: Bytes of text that tasks hash at once; the arrays of a batch take some forty times as much.
+HASHED = 3 << 19
 
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -28,19 +30,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=2)
 def powers(count: int, base: int) -> np.ndarray:
     out = np.full(count, base, np.uint64)
     out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    return np.cumprod(out, dtype=np.uint64, out=out)
+
+
+def first_powers(count: int, base: int) -> np.ndarray:
+    """At least so many powers, of one table that tasks keep while texts aren't very long."""
+    return powers(1 << 21 if count <= 1 << 21 else 1 << int(count).bit_length(), base)
 
 
 def runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
     """A hash of values[start : end] for all runs at once, by prefix sums of a polynomial modulo 2**64."""
-    size = 1 << max(10, int(len(values)).bit_length())
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64) * powers(size, base)[: len(values)], dtype=np.uint64, out=sums[1:])
-    back = powers(size, pow(base, -1, 1 << 64))
+    np.cumsum(values.astype(np.uint64) * first_powers(len(values), base)[: len(values)], dtype=np.uint64, out=sums[1:])
+    back = first_powers(len(values), pow(base, -1, 1 << 64))
     return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * np.uint64(GOLD))
 
 
