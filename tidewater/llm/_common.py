@@ -40,3 +40,14 @@ def documents(docs: DataFrame) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """The fold that no label is learnt from: crc32 of the id as text, mod 3, is 1."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+
+
+def sampled(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """All rows if there are no more than `most`, else about so many, by a hash of their key: always the same ones.
+
+    Rows are counted and then judged where they are, so nothing is sorted or gathered.
+    """
+    total = rows.count()
+    if total <= most:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int((1 << 40) * most / total))

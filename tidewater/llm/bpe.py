@@ -17,11 +17,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, scratch
+from ._common import documents, scratch, stored
 from .lexicon import Lexicon, compile_words, save
 from .tokens import Remembered, gather, rows_within
 
-#: Words of a lexicon at most: the most frequent ones of all documents. Others are merged.
+#: Words of a lexicon at most, from the most frequent ones of all documents. Others are merged.
 ENTRIES = 40_000
 #: Bytes up to which words are merged side by side.
 SHORT = 48
@@ -219,11 +219,20 @@ def _count_task(path: str):
 def build_lexicon(docs: DataFrame, tokenizer: str, entries: int = ENTRIES) -> str:
     """Counts the words of all documents, compiles the most frequent ones and saves them in the shared folder.
 
-    Equal counts are taken in the order of the words. The number of entries bounds what the driver gets.
+    Words are in classes of like counts, eight to a doubling. The classes from the top down whose words are no more
+    than `entries` together make the lexicon, so the driver gets a few hundred sums and then that many words at most.
+    Words that occur once are left to the merges.
     """
     bpe = word_bpe(tokenizer)
-    counts = documents(docs).select("text").mapInArrow(_count_task(tokenizer), "word string, n long")
-    best = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(entries).collect()
+    counts = documents(docs).select("text").mapInArrow(_count_task(tokenizer), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = stored(counts.select("word", F.floor(8 * F.log2("n")).cast("int").alias("class")), "word-counts")
+    cut, total = None, 0
+    for r in sorted(counts.groupBy("class").count().collect(), key=lambda r: -r["class"]):
+        total += r["count"]
+        if total > entries:
+            break
+        cut = r["class"]
+    best = counts.where(F.col("class") >= cut).collect() if cut is not None else []
     words = [r.word.encode("utf-8", "surrogatepass") for r in best]
     ids, sizes = bpe.merge_all(words)
     lists = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] if words else []

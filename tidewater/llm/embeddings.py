@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import sampled, stored
 from .graph import components
 
-#: Vectors that the rotation is fitted on at most, and vectors of one side of a comparison.
+#: Vectors that the rotation is fitted on, or hardly more, and vectors of one side of a comparison.
 SAMPLE, CHUNK = 4_000, 1_536
 #: Room for rounding: a block's distance may exceed its budget by SLACK, and a first, faster look by ten times that.
 SLACK = 1e-9
@@ -147,7 +147,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, parts: int = 4, chu
 
 
 def _compared(nodes: DataFrame, size: int, least: float, parts: int, chunk: int) -> DataFrame:
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vec").collect()
+    sample = sampled(nodes, "node", SAMPLE).select("vec").collect() or nodes.select("vec").limit(1).collect()
     found = blocks(np.array([r.vec for r in sample], np.float64), least, parts)
     kinds = f"label {nodes.schema['label'].dataType.simpleString()}, node long, copies long, vec {nodes.schema['vec'].dataType.simpleString()}"
     placed = stored(nodes.select("label", "node", "copies", "vec").mapInArrow(_cell_task(found, size), f"{kinds}, cells array<int>"), "cells")

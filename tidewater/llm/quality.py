@@ -11,11 +11,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, held_out
+from ._common import documents, held_out, sampled
 from .tokens import rows_within
 from .words import BLANK, HASHED, buffer, shingles, words
 
-#: Rows of a class and unlabelled rows that a model is fitted on at most. Rows are taken by a hash of their id.
+#: Rows of a class and unlabelled rows that a model is fitted on, or hardly more. Rows are taken by a hash of their id.
 SAMPLE = 4_000
 
 FEATURES = (
@@ -126,11 +126,6 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
     return model
 
 
-def _taken(rows: DataFrame, most: int) -> DataFrame:
-    """At most so many rows, always the same ones for the same table."""
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-
-
 def _matrix(rows: DataFrame) -> np.ndarray:
     found = rows.select("doc_id", "text").mapInArrow(_feature_task, "doc_id long, x array<double>").select("x").collect()
     return np.array([r.x for r in found]).reshape(-1, len(FEATURES))
@@ -140,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     """A model from the trusted positives (label 1) and unlabelled texts; None where no label 1 may be learnt from.
 
     Only rows outside the held-out fold give labels. The class prior is the share of label 1 among those that are
-    labelled. Unlabelled texts are drawn from all documents. At most `sample` rows of either kind are used, a bound
+    labelled. Unlabelled texts are drawn from all documents. About `sample` rows of either kind are used at most, a bound
     that keeps them small enough for the driver. A document with several labels has the lowest.
     """
     docs = documents(docs)
@@ -148,9 +143,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     total, ones = known.agg(F.count("*"), F.sum(F.col("y").cast("long"))).first()
     if not ones:
         return None
-    chosen = _taken(known.where("y = 1"), sample).select("doc_id")
+    chosen = sampled(known.where("y = 1"), "doc_id", sample).select("doc_id")
     positive = _matrix(docs.join(F.broadcast(chosen), "doc_id", "left_semi"))
-    drawn = _taken(docs.select("doc_id").where("doc_id is not null"), sample)
+    drawn = sampled(docs.select("doc_id").where("doc_id is not null"), "doc_id", sample)
     unlabelled = _matrix(docs.join(F.broadcast(drawn), "doc_id", "left_semi"))
     if not len(positive):
         return None

@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, held_out, stored
+from ._common import documents, held_out, sampled, stored
 from .tokens import rows_within
 
-#: Labelled rows that a lexicon is learnt from at most, chosen by a hash of their id, and entries of a lexicon.
+#: Labelled rows that a lexicon is learnt from, or hardly more, chosen by a hash of their id, and entries of a lexicon.
 SAMPLE, ENTRIES = 20_000, 2_000
 #: Letters of a stem, least and most.
 STEM = (4, 8)
@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int
     """
     docs = documents(docs)
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = sampled(known, "doc_id", sample)
     rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "y").persist()
     try:
         clean, toxic = (rows.where(F.col("y") == k).count() for k in (0, 1))
