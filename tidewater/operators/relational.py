@@ -50,20 +50,28 @@ def flatten(df: DataFrame, array: str, value: str = "value", index: str | None =
     return df.select("*", (F.explode_outer if outer else F.explode)(array).alias(value))
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, values: list[str], prefix: str = "right_") -> DataFrame:
-    """Each left row with the values of the last right row of its key that isn't later. One shuffle, no pairs.
+def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, values: list[str], prefix: str = "right_", slot: str = "day") -> DataFrame:
+    """Each left row with the values of the last right row of its key that isn't later, without pairs.
 
-    Both sides become one stream, ordered by time, and the last right row seen is carried on.
+    Both sides become one stream, cut into slots of time, so that a key with very many rows is spread over tasks.
+    Inside a slot the last right row seen is carried on in order of time; what a slot begins with is the last right
+    row of the slots before, of which there is one row for each key and slot.
     """
     carried = F.struct(F.col(at), *values)
-    none = F.lit(None).cast(right.select(carried.alias("x")).schema["x"].dataType)
     rows = F.struct(*left.columns)
-    both = left.select(by, F.col(at).alias("__at"), F.lit(1).alias("__side"), rows.alias("__row"), none.alias("__seen"))
-    empty = F.lit(None).cast(left.select(rows.alias("x")).schema["x"].dataType)
-    both = both.unionByName(right.select(by, F.col(at).alias("__at"), F.lit(0).alias("__side"), empty.alias("__row"), carried.alias("__seen")))
-    window = Window.partitionBy(by).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("__last", F.last("__seen", ignorenulls=True).over(window)).where("__side = 1")
-    return seen.select("__row.*", F.col(f"__last.{at}").alias(f"{prefix}{at}"), *[F.col(f"__last.{v}").alias(f"{prefix}{v}") for v in values])
+    seen_type = right.select(carried.alias("x")).schema["x"].dataType
+    row_type = left.select(rows.alias("x")).schema["x"].dataType
+    common = [F.col(by).alias("__by"), F.col(at).alias("__at"), F.date_trunc(slot, F.col(at).cast("timestamp")).alias("__slot")]
+    ours = left.select(*common, F.lit(1).alias("__side"), rows.alias("__row"), F.lit(None).cast(seen_type).alias("__seen"))
+    both = ours.unionByName(right.select(*common, F.lit(0).alias("__side"), F.lit(None).cast(row_type).alias("__row"), carried.alias("__seen")))
+    slots = both.groupBy("__by", "__slot").agg(F.max_by("__seen", F.when(F.col("__side") == 0, F.col("__at"))).alias("__end"))
+    before = Window.partitionBy("__by").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    begins = slots.select("__by", "__slot", F.last("__end", ignorenulls=True).over(before).alias("__begin"))
+    inside = Window.partitionBy("__by", "__slot").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("__last", F.last("__seen", ignorenulls=True).over(inside)).where("__side = 1")
+    same = seen["__by"].eqNullSafe(begins["__by"]) & seen["__slot"].eqNullSafe(begins["__slot"])
+    found = seen.join(begins, same).withColumn("__last", F.when(F.col("__row")[by].isNotNull(), F.coalesce("__last", "__begin")))
+    return found.select("__row.*", F.col(f"__last.{at}").alias(f"{prefix}{at}"), *[F.col(f"__last.{v}").alias(f"{prefix}{v}") for v in values])
 
 
 def range_join(points: DataFrame, at: str, ranges: DataFrame, low: str, high: str, width: float) -> DataFrame:
