@@ -2,11 +2,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewater.llm import graph, minhash
+from tidewater.llm import words as words_module
 from tidewater.llm.words import shingles
-import pyarrow as pa
+from tidewater.llm.words import words as words_of
 
 from .fixtures import AWKWARD, frame, small
 
@@ -82,6 +84,15 @@ def test_sketches_fill_every_bin_and_estimate():
     assert abs(np.mean(miss)) < 0.02 and np.max(np.abs(miss)) < 0.3
 
 
+def test_words_of_very_long_texts(monkeypatch):
+    texts = ["a bb  ccc " * 400, "", "x" * 999 + " y", " ".join(near(24)), "é\u3000z\x1cq"]
+    whole = words_of(pa.array(texts))
+    monkeypatch.setattr(words_module, "HASHED", 50)
+    for one, other in zip(whole, words_of(pa.array(texts)), strict=True):
+        assert (one == other).all()
+    assert [int(n) for n in np.diff(whole[1])] == [len(t.encode().split()) for t in texts]
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(k, k + 1) for k in range(400, 460)]

@@ -41,8 +41,11 @@ def features(texts: pa.Array) -> np.ndarray:
     """One row of numbers for each text; a text without words has zeros where a mean has no terms."""
     raw, offsets = buffer(texts)
     sizes = np.diff(offsets)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    counts = np.bincount(doc * 256 + raw, minlength=len(sizes) * 256).reshape(-1, 256)
+    doc, counts = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.zeros(len(sizes) * 256, np.int64)
+    for at in range(0, len(raw), HASHED):
+        part = slice(at, at + HASHED)
+        counts += np.bincount(doc[part].astype(np.int64) * 256 + raw[part], minlength=len(counts))
+    counts = counts.reshape(-1, 256)
     length = np.maximum(sizes, 1)[:, None]
     share = counts / length
     grouped = share @ GROUPS

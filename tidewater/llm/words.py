@@ -75,7 +75,13 @@ def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]
     begin = inside[1:] & (~inside[:-1] | edge)
     end = inside[:-1] & (~inside[1:] | edge)
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end)
-    hashes = runs((LOWER[raw] if lower else raw).astype(np.uint64) + np.uint64(1), starts, ends)
+    hashes, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):  # a very long text in turns, as a word's hash doesn't depend on its place
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + HASHED, "right")))
+        low = starts[at]
+        part = raw[low : ends[to - 1]]
+        hashes[at:to] = runs((LOWER[part] if lower else part).astype(np.uint64) + np.uint64(1), starts[at:to] - low, ends[at:to] - low)
+        at = to
     return hashes, np.searchsorted(starts, offsets)
 
 
