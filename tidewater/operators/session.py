@@ -24,20 +24,44 @@ def type_name(kind: T.DataType) -> str:
     return next((v for k, v in fixed.items() if isinstance(kind, k)), kind.simpleString().upper())
 
 
+def described(df: DataFrame) -> DataFrame:
+    """A row for each column, as DESCRIBE TABLE gives it."""
+    rows = [(f.name, type_name(f.dataType), "COLUMN", "Y" if f.nullable else "N", None, "N", "N", None, None, None, None, None) for f in df.schema]
+    return df.sparkSession.createDataFrame(rows, T.StructType([T.StructField(c, T.StringType()) for c in DESCRIBED]))
+
+
 def plain(name: str) -> str:
     """Upper case unless quoted."""
     return name[1:-1] if name[:1] == '"' == name[-1:] else name.upper()
 
 
-class Session:
+class Variables:
+    """Session variables by upper-case name; a value keeps its type."""
+
+    def __init__(self) -> None:
+        self.variables: dict[str, object] = {}
+
+    def set(self, name: str, value: object) -> None:
+        self.variables[name.upper()] = value
+
+    def unset(self, name: str) -> None:
+        self.variables.pop(name.upper(), None)
+
+    def variable(self, name: str) -> Column:
+        if name.upper() not in self.variables:
+            raise KeyError(f"Undefined session variable: ${name.upper()}")
+        return F.lit(self.variables[name.upper()])
+
+
+class Session(Variables):
     """A current database and schema, a role, a warehouse and variables over one Spark session.
 
     A schema of a database is one namespace of Spark's catalogue, DATABASE__SCHEMA, with Parquet tables in it.
     """
 
     def __init__(self, spark: SparkSession, database: str = "MAIN", schema: str = "PUBLIC", role: str = "SYSADMIN", warehouse: str = "DEFAULT_WAREHOUSE") -> None:
+        super().__init__()
         self.spark, self.role, self.warehouse = spark, role, warehouse
-        self.variables: dict[str, object] = {}
         self.database = self.schema = ""
         self.use_database(database)
         self.use_schema(schema)
@@ -63,17 +87,6 @@ class Session:
         self.spark.sql(f"CREATE NAMESPACE IF NOT EXISTS `{self.database}__{plain(name)}`")
         return f"Schema {plain(name)} successfully created."
 
-    def set(self, name: str, value: object) -> None:
-        self.variables[name.upper()] = value
-
-    def unset(self, name: str) -> None:
-        self.variables.pop(name.upper(), None)
-
-    def variable(self, name: str) -> Column:
-        if name.upper() not in self.variables:
-            raise KeyError(f"Undefined session variable: ${name.upper()}")
-        return F.lit(self.variables[name.upper()])
-
     def resolve(self, name: str) -> str:
         """table, schema.table or database.schema.table as a name of Spark's catalogue."""
         *rest, table = name.split(".")
@@ -128,9 +141,7 @@ class Session:
         self.save(name, merge.result())
 
     def describe(self, name: str) -> DataFrame:
-        """A row for each column, as DESCRIBE TABLE gives it."""
-        rows = [(f.name, type_name(f.dataType), "COLUMN", "Y" if f.nullable else "N", None, "N", "N", None, None, None, None, None) for f in self.table(name).schema]
-        return self.spark.createDataFrame(rows, T.StructType([T.StructField(c, T.StringType()) for c in DESCRIBED]))
+        return described(self.table(name))
 
     def namespaces(self) -> DataFrame:
         """database_name and schema_name of all schemas."""

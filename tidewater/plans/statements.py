@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dml
+from ..functions import dialect
+from ..operators import dml, session
 from ..sources import stages
 from ..streaming import channels
 
@@ -99,6 +100,39 @@ def strm_09_sessions(t, *_):
     return sessions.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
+@query("SELECT * FROM (VALUES ('o_orderkey', 'NUMBER(38,0)', 'Y'), ('o_custkey', 'NUMBER(38,0)', 'Y'), ('o_orderstatus', 'VARCHAR(16777216)', 'Y'), ('o_totalprice', 'FLOAT', 'Y'), ('o_orderdate', 'TIMESTAMP_NTZ(9)', 'Y'), ('o_orderpriority', 'VARCHAR(16777216)', 'Y')) AS v(name, type, nullable)")
+def ddl_14_describe(t, *_):
+    return session.described(t("orders")).select("name", "type", F.col("`null?`").alias("nullable"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 AND o_orderpriority = '1-URGENT'")
+def ddl_12_variables(t, *_):
+    values = session.Variables()
+    values.set("limit", 100_000)
+    values.set("priority", "1-URGENT")
+    return t("orders").where((F.col("o_totalprice") > values.variable("LIMIT")) & (F.col("o_orderpriority") == values.variable("priority"))).select("o_orderkey")
+
+
+@query()
+def str_17_soundex(t, *_):
+    return t("part").select("p_partkey", F.soundex("p_name").alias("code"))
+
+
+@query()
+def num_13_14_random(t, *_):
+    return t("part").select("p_partkey", dialect.uniform(1, 6, 42).alias("dice"), F.rand(7).alias("share"))
+
+
+@query()
+def hash_04_hash(t, *_):
+    return t("part").select("p_partkey", F.xxhash64("p_name", "p_size").alias("h"))
+
+
+@query()
+def sys_01_03_context(t, *_):
+    return t("region").select("r_regionkey", F.current_user().alias("user"), F.current_schema().alias("schema"), F.uuid().alias("id"), F.current_timestamp().alias("now"))
+
+
 def queries() -> dict:
     def make(f):
         def run(spark, sf_dir):
