@@ -140,9 +140,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     over = streamed.where("split").groupBy("anchor", "window").agg(F.min("first").alias("first"))
     merged = streamed.where("split").drop("first").join(over, ["anchor", "window"]).select("anchor", "segment", "from", "count", "first")
     owners = streamed.where("not split").select("anchor", "segment", "from", "count", "first").union(merged)
-    hit = shared.join(owners, ["anchor", "segment"]).where("first < doc_id")
-    begin = F.col("begin") + F.col("from")
-    return hit.groupBy("doc_id", "part").agg(F.collect_list(F.struct(begin.alias("from"), (begin + F.col("count") - 1 + length).alias("to"))).alias("spans"))
+    # one row for a segment, with its runs (no more than its windows), so that a join makes one row for an occurrence
+    owners = owners.groupBy("anchor", "segment").agg(F.min("first").alias("low"), F.collect_list(F.struct("from", "count", "first")).alias("runs"))
+    hit = shared.join(owners, ["anchor", "segment"]).where("low < doc_id")
+
+    def span(run):
+        begin = F.col("begin") + run["from"]
+        return F.struct(begin.alias("from"), (begin + run["count"] - 1 + length).alias("to"))
+
+    mine = F.transform(F.filter("runs", lambda run: run["first"] < F.col("doc_id")), span)
+    return hit.select("doc_id", "part", mine.alias("mine")).groupBy("doc_id", "part").agg(F.flatten(F.collect_list("mine")).alias("spans"))
 
 
 def _remove_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
