@@ -145,6 +145,31 @@ def join_02_full(t, *_):
     return a.join(b, on, "full")
 
 
+def _outer_whole(kind: str) -> str:
+    return f"SELECT c_custkey, o_custkey, o_orderkey FROM customer {kind} JOIN orders ON c_custkey = o_custkey AND c_acctbal > 0"
+
+
+def _joined_whole(t, how: str):
+    """All customers and all orders; customers in debt match nothing, so their orders stay alone."""
+    on = (F.col("c_custkey") == F.col("o_custkey")) & (F.col("c_acctbal") > 0)
+    return t("customer").join(t("orders"), on, how).select("c_custkey", "o_custkey", "o_orderkey")
+
+
+@query(_outer_whole("LEFT"))
+def join_02_whole_left(t, *_):
+    return _joined_whole(t, "left")
+
+
+@query(_outer_whole("RIGHT"))
+def join_02_whole_right(t, *_):
+    return _joined_whole(t, "right")
+
+
+@query(_outer_whole("FULL"))
+def join_02_whole_full(t, *_):
+    return _joined_whole(t, "full")
+
+
 @query("SELECT n_name, r_name FROM nation CROSS JOIN region")
 def join_03_cross(t, *_):
     return t("nation").crossJoin(F.broadcast(t("region"))).select("n_name", "r_name")
