@@ -210,6 +210,14 @@ def join_10_null_safe(t, *_):
     return rel.null_safe_join(a, b, "x", "y").select("a", "b")
 
 
+@query("SELECT p_partkey, n AS suppliers FROM (SELECT p_partkey, CASE WHEN p_size > 25 THEN NULL ELSE p_size END AS x FROM part) a JOIN (SELECT CASE WHEN s_nationkey > 20 THEN NULL ELSE s_nationkey END AS y, count(*) AS n FROM supplier GROUP BY 1) b ON a.x IS NOT DISTINCT FROM b.y")
+def join_10_whole_null_safe(t, *_):
+    """All parts with how many of all suppliers have their key; suppliers are counted first, so no pairs are made."""
+    a = t("part").select("p_partkey", F.when(F.col("p_size") <= 25, F.col("p_size")).alias("x"))
+    b = t("supplier").groupBy(F.when(F.col("s_nationkey") <= 20, F.col("s_nationkey")).alias("y")).agg(F.count("*").alias("suppliers"))
+    return rel.null_safe_join(a, b, "x", "y").select("p_partkey", "suppliers")
+
+
 # --- aggregates ---
 
 
