@@ -102,3 +102,11 @@ def test_components(spark):
             low[a] = low[b] = min(low[a], low[b])
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: v for k, v in low.items() if k in got} and all(a == b or a in got for a, b in edges)
+
+
+def test_texts_that_share_an_id_lead_to_one_component(spark):
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcde")
+    texts = [a, b, c, a + " more", b + " more", c + " more", d, d, e, e + " more"]
+    ids = [5, 5, 5, 6, 7, 8, 12, 18, 18, 19]
+    rows = minhash.near_duplicates(frame(spark, texts, ids)).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in rows) == [(5, 5, True)] * 3 + [(6, 5, False), (7, 5, False), (8, 5, False), (12, 12, True), (18, 12, False), (18, 12, False), (19, 12, False)]

@@ -80,8 +80,8 @@ def _sketch_task(setting: Setting):
             sums = [np.concatenate([[0], np.cumsum(mix(found ^ np.uint64(s)), dtype=np.uint64)]).astype(np.uint64) for s in (1, 2)]
             digests = np.stack([s[offsets[1:]] - s[offsets[:-1]] for s in sums], axis=1)
             yield pa.record_batch(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array([x.tobytes() for x in digests], pa.binary()), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "bands"],
+                [batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array([x.tobytes() for x in digests], pa.binary()), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))],
+                names=["doc_id", "version", "n_shingles", "digest", "bands"],
             )
 
     return task
@@ -114,16 +114,16 @@ def _linked(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.nda
 
 
 def _confirm_task(setting: Setting):
-    """Rows of star, member, star_text, text, in the order of star: whether each pair is linked."""
+    """Rows of star, star_version, member, member_version, star_text, text, in the order of the first two: whether each pair is linked."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_within(rows_within(batches, 2), 3):
-            stars = batch.column(0).to_numpy(zero_copy_only=False)
-            first = np.flatnonzero(np.concatenate([[True], stars[1:] != stars[:-1]]))
-            a = np.cumsum(np.concatenate([[0], (stars[1:] != stars[:-1]).astype(int)]))[: len(stars)]
-            left, right = shingles(batch.column(2).take(pa.array(first)), setting.words), shingles(batch.column(3), setting.words)
+        for batch in rows_within(rows_within(batches, 4), 5):
+            stars, versions = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            starts = np.concatenate([[True], (stars[1:] != stars[:-1]) | (versions[1:] != versions[:-1])])[: len(stars)]
+            a = np.cumsum(starts) - 1
+            left, right = shingles(batch.column(4).take(pa.array(np.flatnonzero(starts))), setting.words), shingles(batch.column(5), setting.words)
             linked = _linked(left, right, a, np.arange(len(stars)), setting.percent)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(linked)], names=["star", "member", "linked"])
+            yield pa.record_batch([*batch.columns[:4], pa.array(linked)], names=["star", "star_version", "member", "version", "linked"])
 
     return task
 
@@ -156,26 +156,30 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     linked to it is open and is compared with the group's members of other components, block by block. So each pair
     that shares a band is linked, known to be in one component, or compared, and no bucket is gathered in one task.
 
-    Null texts are empty; texts without words are linked with nothing; a null doc_id stays alone; rows that share a
-    doc_id are one node, to which all their links lead.
+    Rows that share a doc_id but differ in text are versions of one document: each version is compared by its own
+    text, and all their links lead to one component. Null texts are empty; texts without words are linked with
+    nothing, not even by their doc_id. A row with a null doc_id takes the component of a doc_id with an equal set and
+    isn't kept; if there is none, it stays alone and is kept.
 
     Both sides of a join grow with the corpus, so the joins are merges at every size.
     """
-    docs = documents(docs)
-    sketched = stored(docs.mapInArrow(_sketch_task(setting), "doc_id long, n_shingles long, digest binary, bands array<long>"), "sketches")
+    docs = documents(docs).withColumn("version", F.xxhash64("text"))
+    sketched = stored(docs.mapInArrow(_sketch_task(setting), "doc_id long, version long, n_shingles long, digest binary, bands array<long>"), "sketches")
     solid = sketched.where("n_shingles > 0 and doc_id is not null")
     classes = stored(solid.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
-    nodes = solid.select("doc_id", "n_shingles", "digest", "bands").join(classes.withColumnRenamed("node", "doc_id").hint("merge"), ["digest", "n_shingles", "doc_id"], "left_semi")
-    keys = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
-    stars = keys.groupBy("band").agg(F.min("node").alias("star"), F.max("node").alias("last")).where("star != last").select("band", "star")
-    pairs = stored(keys.join(stars.hint("merge"), "band").where("star != node").select("star", F.col("node").alias("member")).distinct(), "pairs")
-
-    wanted = pairs.select(F.col("star").alias("doc_id")).union(pairs.select("member")).distinct()
-    texts = stored(docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("member"), "text").hint("merge"), "member")
-    both = both.join(texts.select(F.col("doc_id").alias("star"), F.col("text").alias("star_text")).hint("merge"), "star").select("star", "member", "star_text", "text")
-    checked = stored(both.mapInArrow(_confirm_task(setting), "star long, member long, linked boolean"), "checked")
-    edges = checked.where("linked").select(F.col("star").alias("a"), F.col("member").alias("b"))
+    nodes = solid.select("doc_id", "version", "n_shingles", "digest", "bands").join(classes.withColumnRenamed("node", "doc_id").hint("merge"), ["digest", "n_shingles", "doc_id"], "left_semi")
+    keys = nodes.select(F.struct(F.col("doc_id").alias("node"), "version").alias("key"), F.explode("bands").alias("band"))
+    stars = keys.groupBy("band").agg(F.min("key").alias("star"), F.max("key").alias("last")).where("star != last").select("band", "star")
+    met = keys.join(stars.hint("merge"), "band").where("star != key")
+    pairs = stored(met.select(F.col("star.node").alias("star"), F.col("star.version").alias("star_version"), F.col("key.node").alias("member"), F.col("key.version").alias("version")).distinct(), "pairs")
+
+    wanted = pairs.select(F.col("star").alias("doc_id"), F.col("star_version").alias("version")).union(pairs.select("member", "version")).distinct()
+    texts = stored(docs.join(wanted.hint("merge"), ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"]), "texts")
+    both = pairs.join(texts.select(F.col("doc_id").alias("member"), "version", "text").hint("merge"), ["member", "version"])
+    both = both.join(texts.select(F.col("doc_id").alias("star"), F.col("version").alias("star_version"), F.col("text").alias("star_text")).hint("merge"), ["star", "star_version"])
+    both = both.select("star", "star_version", "member", "version", "star_text", "text")
+    checked = stored(both.mapInArrow(_confirm_task(setting), "star long, star_version long, member long, version long, linked boolean"), "checked")
+    edges = checked.where("linked").select(F.col("star").alias("a"), F.col("member").alias("b")).union(_shared_ids(solid, classes))
     known = components(edges)
 
     edges = edges.union(_open_edges(checked, known, texts, setting))
@@ -186,14 +190,21 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _shared_ids(solid: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links of each doc_id that has several texts with the nodes of all of them."""
+    several = solid.groupBy("doc_id").agg(F.min("version").alias("low"), F.max("version").alias("high")).where("low != high").select("doc_id")
+    rows = solid.select("doc_id", "digest", "n_shingles").join(several.hint("merge"), "doc_id", "left_semi")
+    return rows.join(classes.hint("merge"), ["digest", "n_shingles"]).where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+
+
 def _open_edges(checked: DataFrame, known: DataFrame, texts: DataFrame, setting: Setting) -> DataFrame:
     """Links of members that aren't linked to their star with members of other components of the same star."""
-    groups = checked.groupBy("star").agg(F.count("*").alias("size"), F.sum((~F.col("linked")).cast("long")).alias("open_size")).where("open_size > 0 and size > 1")
-    rows = checked.join(groups, "star").join(known.withColumnRenamed("node", "member"), "member", "left")
-    rows = rows.select("star", F.col("member").alias("node"), (~F.col("linked")).alias("is_open"), F.coalesce("component", "member").alias("component"), F.ceil(F.col("open_size") / OPEN_BLOCK).alias("across"), F.ceil(F.col("size") / ALL_BLOCK).alias("down"))
-    at = F.xxhash64("node")
-    common = ["star", "node", "component"]
+    groups = checked.groupBy("star", "star_version").agg(F.count("*").alias("size"), F.sum((~F.col("linked")).cast("long")).alias("open_size")).where("open_size > 0 and size > 1")
+    rows = checked.join(groups, ["star", "star_version"]).join(known.withColumnRenamed("node", "member"), "member", "left")
+    rows = rows.select("star", "star_version", F.col("member").alias("node"), "version", (~F.col("linked")).alias("is_open"), F.coalesce("component", "member").alias("component"), F.ceil(F.col("open_size") / OPEN_BLOCK).alias("across"), F.ceil(F.col("size") / ALL_BLOCK).alias("down"))
+    at = F.xxhash64("node", "version")
+    common = ["star", "star_version", "node", "version", "component"]
     opened = rows.where("is_open").select(*common, F.lit(True).alias("open"), F.pmod(at, F.col("across")).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("down") - 1)).alias("y"))
     others = rows.select(*common, F.lit(False).alias("open"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1)).alias("x"), F.pmod(at, F.col("down")).alias("y"))
-    blocks = opened.union(others).join(texts.withColumnRenamed("doc_id", "node").hint("merge"), "node")
-    return stored(blocks.groupBy("star", "x", "y").applyInArrow(_open_task(setting), "a long, b long"), "open-links")
+    blocks = opened.union(others).join(texts.withColumnRenamed("doc_id", "node").hint("merge"), ["node", "version"])
+    return stored(blocks.groupBy("star", "star_version", "x", "y").applyInArrow(_open_task(setting), "a long, b long"), "open-links")
