@@ -61,3 +61,11 @@ def test_run_against_brute_force(spark, sf, tmp_path):
         assert sum(x[1] for x in got) == len(ids)
         assert all(zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes()) == c for a, n, c in got)
     assert not re.search(r"AKIA[A-Z0-9]{16,}", " ".join(t for _, t in good))
+
+
+def test_one_row_of_each_group_of_copies_stays(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    data = [(1, a), (1, a), (None, b), (None, b), (None, c), (2, d), (None, d + " more"), (3, None), (None, "")]
+    docs = spark.createDataFrame([(k, t, "en", "src", len(t or "")) for k, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=repr) == sorted([(1, a), (None, b), (None, c), (2, d), (3, None), (None, "")], key=repr)
