@@ -120,3 +120,17 @@ def test_the_rest_imports_without_the_subpackage():
 
     code = "import sys; sys.modules['tidewater.llm'] = None; import __spark_entry__ as e; assert e.queries() and 'pipeline' not in e.queries(); e.oracle_sql()"
     assert subprocess.run([sys.executable, "-c", code], cwd=contract.__file__.rpartition("/")[0]).returncode == 0
+
+
+def test_merge_fails_where_a_target_row_has_several_source_rows(spark):
+    target = spark.createDataFrame([(1, 10), (2, 20)], "id int, v int")
+    source = spark.createDataFrame([(2, 21), (9, 90), (9, 91)], "id int, v int")
+
+    def merged(rows):
+        merge = dml.Merge(target, rows, F.col("t.id") == F.col("s.id")).when_matched_update({"v": F.col("s.v")})
+        return merge.when_not_matched_insert({"id": F.col("s.id"), "v": F.col("s.v")}).result()
+
+    assert sorted(map(tuple, merged(source).collect())) == [(1, 10), (2, 21), (9, 90), (9, 91)]
+    for run in (lambda df: df.collect(), lambda df: df.count()):
+        with pytest.raises(Exception, match="several rows of the source"):
+            run(merged(source.union(source)))

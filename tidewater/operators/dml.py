@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,8 +55,12 @@ class Merge:
         """
         names = self.target.columns
         t = self.target.withColumns({"__t": F.lit(True), "__id": F.monotonically_increasing_id()}).alias("t")
-        s = self.source.withColumn("__s", F.lit(True)).alias("s")
-        both = t.join(s, self.on, "full")
+        s = self.source.withColumns({"__s": F.lit(True), "__new": -1 - F.monotonically_increasing_id()}).alias("s")
+        # Source rows without a target row are counted by a number of their own, so that they don't meet in one task.
+        same = Window.partitionBy(F.coalesce("__id", "__new"))
+        both = t.join(s, self.on, "full").withColumn("__count", F.count("*").over(same))
+        several = F.raise_error("a row of the target has several rows of the source").cast("boolean")
+        both = both.where(F.when(F.col("__count") > 1, several).otherwise(True))
         in_both, new = F.col("__t").isNotNull() & F.col("__s").isNotNull(), F.col("__t").isNull()
         action = F.when(F.lit(False), -1)
         for k, (where, _) in enumerate(self.matched):
