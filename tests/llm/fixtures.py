@@ -21,3 +21,9 @@ def frame(spark, texts, ids=None):
 def small(spark, sf):
     """The texts of the smallest documents table."""
     return [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").orderBy("doc_id").collect()]
+
+
+def thue_morse(length=1024):
+    """Two words, one with a and b changed for each other, whose polynomial hashes modulo 2**64 are equal for every base."""
+    signs = [bin(k).count("1") % 2 for k in range(length)]
+    return "".join("ab"[x] for x in signs), "".join("ba"[x] for x in signs)

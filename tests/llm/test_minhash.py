@@ -6,11 +6,10 @@ import pyarrow as pa
 import pytest
 
 from tidewater.llm import graph, minhash
-from tidewater.llm import words as words_module
 from tidewater.llm.words import shingles
 from tidewater.llm.words import words as words_of
 
-from .fixtures import AWKWARD, frame, small
+from .fixtures import AWKWARD, frame, small, thue_morse
 
 
 def sets(texts, size):
@@ -59,6 +58,7 @@ def near(count=60, seed=3):
 def test_op6_against_brute_force(spark, sf, size, monkeypatch):
     monkeypatch.setattr(minhash, "OPEN_BLOCK", 2)
     monkeypatch.setattr(minhash, "ALL_BLOCK", 4)
+    monkeypatch.setattr(minhash, "ALL_SHINGLES", 300)
     texts = AWKWARD + near() + small(spark, sf) + ["x", "X", "one two", "ONE two\n", "one two "]
     want = brute(texts, size)
     rows = minhash.near_duplicates(frame(spark, texts), minhash.Setting(words=size)).collect()
@@ -84,13 +84,21 @@ def test_sketches_fill_every_bin_and_estimate():
     assert abs(np.mean(miss)) < 0.02 and np.max(np.abs(miss)) < 0.3
 
 
-def test_words_of_very_long_texts(monkeypatch):
-    texts = ["a bb  ccc " * 400, "", "x" * 999 + " y", " ".join(near(24)), "é\u3000z\x1cq"]
-    whole = words_of(pa.array(texts))
-    monkeypatch.setattr(words_module, "HASHED", 50)
-    for one, other in zip(whole, words_of(pa.array(texts)), strict=True):
-        assert (one == other).all()
-    assert [int(n) for n in np.diff(whole[1])] == [len(t.encode().split()) for t in texts]
+def test_words_do_not_depend_on_what_stands_around_them():
+    texts = ["a bb  ccc " * 400, "", "x" * 999 + " y", " ".join(near(24)), "é\u3000z\x1cq", "x" * 998 + "z", "abcdefgh abcdefgh\0 abcdefg", " ".join("abcdefghijklmnopqrstuvwxyz"[:k] for k in range(27))]
+    hashes, offsets = words_of(pa.array(texts), key=5)
+    spelt = [w for t in texts for w in t.encode().split()]
+    assert [int(n) for n in np.diff(offsets)] == [len(t.encode().split()) for t in texts]
+    number = {}
+    assert all(number.setdefault(w, h) == h for w, h in zip(spelt, hashes.tolist(), strict=True)) and len(set(number.values())) == len(number)
+    alone = np.concatenate([words_of(pa.array([t]), key=5)[0] for t in texts])
+    assert (alone == hashes).all() and not (words_of(pa.array(texts), key=6)[0] == hashes).any()
+
+
+def test_words_whose_polynomials_meet_share_no_shingle(spark):
+    one, other = thue_morse()
+    rows = minhash.near_duplicates(frame(spark, [f"{one} {one}", f"{other} {other}", one, other, f"{one} {one}"]), minhash.Setting(words=2)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 0)]
 
 
 def test_components(spark):

@@ -7,7 +7,7 @@ import pytest
 from tidewater.llm import substring
 from tidewater.llm.fmindex import FMIndex, WaveletMatrix
 
-from .fixtures import AWKWARD, frame, small
+from .fixtures import AWKWARD, frame, small, thue_morse
 
 
 def brute(texts, ids, length):
@@ -68,13 +68,55 @@ def test_wavelet_matrix_and_index():
     tree = WaveletMatrix(symbols, 11)
     at, symbol = rng.integers(0, 301, 200), rng.integers(0, 11, 200)
     assert (tree.rank(symbol, at) == [(symbols[:a] == s).sum() for s, a in zip(symbol, at)]).all()
-    for length in (1, 3, 4, 6):
-        segments = [rng.integers(0, 3, rng.integers(1, 30)).astype(np.uint64) for _ in range(40)]
-        owners = rng.integers(0, 1000, 40)
+
+
+def test_matching_statistics_of_texts_that_are_not_indexed():
+    """Against all substrings: lengths and least owners, also of words that no passage has."""
+    rng = np.random.default_rng(4)
+    for turn in range(60):
+        signs, length = int(rng.integers(1, 5)), int(rng.integers(1, 7))
+        passages = [rng.integers(0, signs, rng.integers(0, 30)).astype(np.uint64) for _ in range(turn % 8)]
+        owners = rng.integers(0, 100, len(passages))
         least = {}
-        for s, o in zip(segments, owners):
-            for i in range(len(s) - length + 1):
-                key = s[i : i + length].tobytes()
-                least[key] = min(o, least.get(key, o))
-        for s, got in zip(segments, FMIndex(segments, owners, length).stream()):
-            assert got.tolist() == [least[s[i : i + length].tobytes()] for i in range(len(s) - length + 1)]
+        for p, o in zip(passages, owners.tolist(), strict=True):
+            for i in range(len(p)):
+                for j in range(i + 1, len(p) + 1):
+                    key = p[i:j].tobytes()
+                    least[key] = min(o, least.get(key, o))
+        texts = [rng.integers(0, signs + 1, rng.integers(0, 30)).astype(np.uint64) for _ in range(9)]
+        lengths, found, base = FMIndex(passages, owners, length).match(texts)
+        for t, at in zip(texts, base, strict=True):
+            for i in range(len(t)):
+                most = max([n for n in range(1, len(t) - i + 1) if t[i : i + n].tobytes() in least], default=0)
+                assert lengths[at + i] == most and found[at + i] == (least[t[i : i + length].tobytes()] if most >= length else -1)
+
+
+def test_backward_search_makes_the_result(spark, monkeypatch):
+    """Without matches of the streamed texts nothing is removed."""
+    texts = passages(seed=2, count=10)
+    monkeypatch.setattr(substring, "_index_task", _blind)
+    assert substring.deduplicate(frame(spark, texts)).agg({"n_removed": "sum"}).first()[0] == 0
+
+
+def _blind(length):
+    def task(got):
+        import pyarrow as pa
+
+        return pa.table({"anchor": pa.array([], pa.int64()), "segment": pa.array([], pa.int64()), "split": pa.array([], pa.bool_()), "runs": pa.array([], pa.list_(pa.struct([("from", pa.int32()), ("count", pa.int32()), ("first", pa.int64()), ("window", pa.int64())])))})
+
+    return task
+
+
+def test_words_whose_polynomials_meet(spark):
+    """Two words of 1,024 letters that polynomial hashes modulo 2**64 can't part are different words."""
+    one, other = thue_morse()
+    common = " ".join(f"w{k}" for k in range(30))
+    texts = [" ".join([common, one, *(f"a{k}" for k in range(30))]), " ".join([common, other, *(f"a{k}" for k in range(30))])]
+    assert [r.n_removed for r in substring.deduplicate(frame(spark, texts)).collect()] == [0, 0]
+
+
+def test_repeated_rows_lose_the_same_words(spark):
+    texts = passages(seed=7, count=6)
+    got = substring.deduplicate(frame(spark, texts + texts[3:] * 5, [*range(6), *[3, 4, 5] * 5])).collect()
+    want = {k: (n, kept) for k, _, n, kept in brute(texts, range(6), 50)}
+    assert len(got) == 21 and all((r.n_removed, r.kept) == want[r.doc_id] for r in got)

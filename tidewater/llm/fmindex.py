@@ -1,4 +1,4 @@
-"""A compressed full-text index over sequences of numbers: suffix order, wavelet matrix, backward search."""
+"""A compressed full-text index over sequences of numbers: suffix order, wavelet matrix, backward search, matching statistics."""
 
 from __future__ import annotations
 
@@ -56,71 +56,113 @@ def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, out
 
 
+def _shared(order: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each row's suffix begins with that the row before begins with too; -1 at both ends.
+
+    ranks[k] orders places by 2**k numbers, so equal ranks are that many equal numbers.
+    """
+    size = len(order)
+    a, b, out = order[:-1].copy(), order[1:].copy(), np.zeros(size - 1, np.int32)
+    for k in range(len(ranks) - 1, -1, -1):
+        step = 1 << k
+        inside = np.flatnonzero(np.maximum(a, b) < size)
+        same = inside[ranks[k][a[inside]] == ranks[k][b[inside]]]
+        a[same] += step
+        b[same] += step
+        out[same] += step
+    return np.concatenate([[-1], out, [-1]]).astype(np.int32)
+
+
+def _smaller(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest place before, and behind, each place that has a smaller value; values begin and end with the least."""
+    before, behind = np.zeros(len(values), np.int64), np.full(len(values), len(values) - 1, np.int64)
+    for value in range(int(values.max()) + 1):
+        at = np.flatnonzero(values == value)
+        if len(at):
+            low = np.flatnonzero(values < value)
+            k = np.searchsorted(low, at)
+            before[at], behind[at] = low[k - 1], low[k]
+    return before, behind
+
+
 class FMIndex:
-    """Over segments of words that each have an owner; `length` words are what counts as a match.
+    """Over passages of words that each have an owner; `length` words are what counts as a match.
 
-    Rows of the index are all suffixes in order. A bit marks each row whose first `length` words differ from those of
-    the row before, so a rank over these bits names the class of a match, and each class knows its least owner.
+    Rows of the index are all suffixes in order. `shared` says how much each has in common with the row before. A bit
+    marks each row whose first `length` words differ from those of the row before, so a rank over these bits names the
+    class of a match, and each class knows its least owner.
     """
 
-    def __init__(self, segments: list[np.ndarray], owners: np.ndarray, length: int) -> None:
-        sizes = np.array([len(s) for s in segments])
-        total = int(sizes.sum()) + len(segments)
-        self.starts = np.cumsum(sizes + 1) - sizes - 1
+    def __init__(self, passages: list[np.ndarray], owners: np.ndarray, length: int) -> None:
+        self.length = length
+        self.values = np.unique(np.concatenate([*passages, np.zeros(0, np.uint64)]))
+        if not len(self.values):
+            return
+        sizes = np.array([len(s) for s in passages])
+        total = int(sizes.sum()) + len(passages)
         text = np.zeros(total, np.int64)
         inside = np.ones(total, bool)
-        inside[self.starts + sizes] = False
-        values, ids = np.unique(np.concatenate(segments), return_inverse=True)
-        text[inside] = ids + 1
-        self.text, self.sizes, self.length = text, sizes, length
-        keys = text + len(segments)
-        keys[~inside] = np.arange(len(segments))  # every end differs, so no match goes beyond one
+        inside[np.cumsum(sizes + 1) - 1] = False
+        text[inside] = np.searchsorted(self.values, np.concatenate(passages)) + 1
+        keys = text + len(passages)
+        keys[~inside] = np.arange(len(passages))  # every end differs, so no match goes beyond one
         order, rank = _ranks(keys)
-        span, part = 1, rank if length == 1 else None
-        power = 1 << (length.bit_length() - 1)
-        while part is None or rank.max() < total - 1:
+        ranks = [rank.astype(np.int32)]
+        while rank.max() < total - 1:
+            span = 1 << (len(ranks) - 1)
             ahead = np.zeros(total, np.int64)
-            ahead[:-span] = rank[span:] + 1 if span < total else 0
+            ahead[:-span] = rank[span:] + 1
             order, rank = _ranks(rank * (total + 1) + ahead)
-            span *= 2
-            if span == power:
-                part = rank
-            if span >= 2 * total and part is None:
-                part = rank
-        rest = length - power
-        later = np.full(total, -1, np.int64)
-        later[: total - rest] = part[rest:]
-        edge = np.ones(total, np.uint8)
-        edge[1:] = (part[order][1:] != part[order][:-1]) | (later[order][1:] != later[order][:-1])
-        owner = np.repeat(owners, sizes + 1)[order]
-        self.least = np.minimum.reduceat(owner, np.flatnonzero(edge))
+            ranks.append(rank.astype(np.int32))
+        self.size = total
+        self.shared = _shared(order, ranks)
+        self.up, self.down = _smaller(self.shared)
+        edge = (self.shared[:-1] < length).astype(np.uint8)
+        self.least = np.minimum.reduceat(np.repeat(owners, sizes + 1)[order], np.flatnonzero(edge))
         self.edges = Bits(edge)
-        size = len(values) + 1
+        size = len(self.values) + 1
         self.tree = WaveletMatrix(text[order - 1], size)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))])
 
-    def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows that begin with the symbol and go on as the rows from low to high do."""
-        return self.before[symbol] + self.tree.rank(symbol, low), self.before[symbol] + self.tree.rank(symbol, high)
+        both = self.tree.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
+        return self.before[symbol] + both[: len(low)], self.before[symbol] + both[len(low) :]
 
-    def stream(self) -> list[np.ndarray]:
-        """For each segment and each of its windows of `length` words: the least owner of an equal window.
+    def match(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of texts, which need not be indexed: (how many words from each place on stand somewhere in
+        the index, the least owner of the `length` words from there where there are so many, else -1, where each text begins).
 
-        All segments are read from their ends at once. The rows of a read part never run out, as the segments are
-        themselves indexed; from `length` words on, the class of the first row gives the owner.
+        All texts are read from their ends at once. A word before what has been matched is tried by backward search. If
+        no row is left, the match gives up words at its end: the least that lets more rows in, as `shared` tells.
         """
-        out = [np.zeros(max(0, n - self.length + 1), np.int64) for n in self.sizes]
-        live = np.argsort(-self.sizes, kind="stable")
-        low, high = np.zeros(len(live), np.int64), np.full(len(live), len(self.text), np.int64)
-        flat = np.zeros(sum(map(len, out)), np.int64)
-        base = np.cumsum([0, *map(len, out)])[:-1]
-        for read in range(1, int(self.sizes.max(initial=0)) + 1):
-            count = int(np.searchsorted(-self.sizes[live], -read, "right"))
-            live, low, high = live[:count], low[:count], high[:count]
-            at = self.sizes[live] - read
-            low, high = self.step(self.text[self.starts[live] + at], low, high)
-            if read >= self.length:
-                flat[base[live] + at] = self.least[self.edges.rank(low + 1) - 1]
-        if (low >= high).any():
-            raise AssertionError("an indexed segment was not found")
-        return np.split(flat, base[1:])
+        sizes = np.array([len(t) for t in texts], np.int64)
+        base = np.cumsum(sizes) - sizes
+        flat = np.concatenate([*texts, np.zeros(0, np.uint64)])
+        lengths, owners = np.zeros(len(flat), np.int32), np.full(len(flat), -1, np.int64)
+        if not len(self.values):
+            return lengths, owners, base
+        symbols = np.searchsorted(self.values, flat)
+        symbols = np.where(self.values[np.minimum(symbols, len(self.values) - 1)] == flat, symbols + 1, 0)
+        place, stop = (base + sizes - 1)[sizes > 0], base[sizes > 0]
+        low, high, depth = np.zeros(len(place), np.int64), np.full(len(place), self.size, np.int64), np.zeros(len(place), np.int32)
+        while len(place):
+            symbol = symbols[place]
+            new_low, new_high = self._step(symbol, low, high)
+            found = (symbol > 0) & (new_low < new_high)
+            lost = ~found & ((depth == 0) | (symbol == 0))
+            less = np.flatnonzero(~found & ~lost)
+            a, b = low[less], high[less]
+            keep = np.maximum(self.shared[a], self.shared[b])
+            low[less], high[less], depth[less] = np.where(self.shared[a] == keep, self.up[a], a), np.where(self.shared[b] == keep, self.down[b], b), keep
+            low = np.where(found, new_low, np.where(lost, 0, low))
+            high = np.where(found, new_high, np.where(lost, self.size, high))
+            depth = np.where(found, depth + 1, np.where(lost, 0, depth))
+            lengths[place[found]] = depth[found]
+            whole = np.flatnonzero(found & (depth >= self.length))
+            owners[place[whole]] = self.least[self.edges.rank(low[whole] + 1) - 1]
+            place = np.where(found | lost, place - 1, place)
+            live = place >= stop
+            if not live.all():
+                place, stop, low, high, depth = (x[live] for x in (place, stop, low, high, depth))
+        return lengths, owners, base

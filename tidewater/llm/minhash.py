@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ._common import documents, stored
 from .graph import components
 from .tokens import rows_within
-from .words import GOLD, HASHED, WORD_MASK, mix, runs, shingles
+from .words import GOLD, HASHED, WORD_MASK, chain, mix, new_key, shingles
 
 
 @dataclass(frozen=True)
@@ -29,8 +29,9 @@ class Setting:
     rows: int = 4
 
 
-#: Unlinked members, and members, of a group that are compared with each other in one task.
-OPEN_BLOCK, ALL_BLOCK = 64, 1024
+#: Unlinked members, and members, of a group that are compared with each other in one task, and their shingles there.
+OPEN_BLOCK, ALL_BLOCK = 512, 2048
+OPEN_SHINGLES, ALL_SHINGLES = 500_000, 1_500_000
 
 
 def sketches(found: np.ndarray, offsets: np.ndarray, bins: int) -> np.ndarray:
@@ -68,20 +69,19 @@ def sketches(found: np.ndarray, offsets: np.ndarray, bins: int) -> np.ndarray:
 TURN = 0xA24BAED4963EE407
 
 
-def _sketch_task(setting: Setting):
+def _sketch_task(setting: Setting, key: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_within(batches, 1, HASHED):
-            found, offsets = shingles(batch.column(1), setting.words)
+            found, offsets = shingles(batch.column(1), setting.words, key=key)
             counts = np.diff(offsets)
             values = sketches(found, offsets, setting.bins)
-            flat, bands = values.reshape(-1), setting.bins // setting.rows
-            starts = np.arange(len(counts) * bands) * setting.rows
-            keys = runs(flat, starts, starts + setting.rows).reshape(-1, bands) + np.arange(bands, dtype=np.uint64) * np.uint64(GOLD)
+            bands = setting.bins // setting.rows
+            keys = chain(values.reshape(-1), setting.rows)[:: setting.rows].reshape(-1, bands) + np.arange(bands, dtype=np.uint64) * np.uint64(GOLD)
             sums = [np.concatenate([[0], np.cumsum(mix(found ^ np.uint64(s)), dtype=np.uint64)]).astype(np.uint64) for s in (1, 2)]
             digests = np.stack([s[offsets[1:]] - s[offsets[:-1]] for s in sums], axis=1)
             yield pa.record_batch(
-                [batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array([x.tobytes() for x in digests], pa.binary()), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))],
-                names=["doc_id", "version", "n_shingles", "digest", "bands"],
+                [batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array([x.tobytes() for x in digests], pa.binary()), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in values.astype(np.uint8)], pa.binary())],
+                names=["doc_id", "version", "n_shingles", "digest", "bands", "sketch"],
             )
 
     return task
@@ -113,7 +113,7 @@ def _linked(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.nda
     return out
 
 
-def _confirm_task(setting: Setting):
+def _confirm_task(setting: Setting, key: int):
     """Rows of star, star_version, member, member_version, star_text, text, in the order of the first two: whether each pair is linked."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,28 +121,39 @@ def _confirm_task(setting: Setting):
             stars, versions = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             starts = np.concatenate([[True], (stars[1:] != stars[:-1]) | (versions[1:] != versions[:-1])])[: len(stars)]
             a = np.cumsum(starts) - 1
-            left, right = shingles(batch.column(4).take(pa.array(np.flatnonzero(starts))), setting.words), shingles(batch.column(5), setting.words)
+            left, right = (shingles(x, setting.words, key=key) for x in (batch.column(4).take(pa.array(np.flatnonzero(starts))), batch.column(5)))
             linked = _linked(left, right, a, np.arange(len(stars)), setting.percent)
             yield pa.record_batch([*batch.columns[:4], pa.array(linked)], names=["star", "star_version", "member", "version", "linked"])
 
     return task
 
 
-def _open_task(setting: Setting):
-    """A block of open members and a block of all members of a star: links between different components."""
+def _open_task(setting: Setting, key: int):
+    """A block of open members and a block of all members of a star: links between different components.
+
+    Two sets of the least similarity agree in 128 * 0.8 bins on the mean; pairs that agree in fewer than five eighths of
+    that aren't compared, which loses one with a probability of 1e-15. A bin's last byte stands for it here.
+    """
+    need = setting.bins * setting.percent // 160
 
     def task(got: pa.Table) -> pa.Table:
         got = got.combine_chunks()
         is_open = got.column("open").to_numpy()
-        ids, group = got.column("node").to_numpy(), got.column("component").to_numpy()
-        sides = [np.flatnonzero(is_open), np.flatnonzero(~is_open)]
-        sets = [shingles(got.column("text").take(pa.array(s)).combine_chunks(), setting.words) for s in sides]
+        ids, group, sizes = (got.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
+        marks = np.frombuffer(b"".join(got.column("sketch").to_pylist()), np.uint8).reshape(-1, setting.bins)
+        ours, others, met = np.flatnonzero(is_open), np.flatnonzero(~is_open), []
+        for row in ours:
+            fits = 100 * np.minimum(sizes[row], sizes[others]) >= setting.percent * np.maximum(sizes[row], sizes[others])
+            other = others[fits & (group[others] != group[row]) & (ids[others] != ids[row])]
+            met.append(other[np.count_nonzero(marks[other] == marks[row], axis=1) >= need])
+        used = np.unique(np.concatenate([*(x for x in met if len(x)), ours[[len(x) > 0 for x in met]], np.zeros(0, np.int64)]))
+        sets = shingles(got.column("text").take(pa.array(used)).combine_chunks(), setting.words, key=key)
         edges: list[tuple[int, int]] = []
-        for k, row in enumerate(sides[0]):
-            other = np.flatnonzero((group[sides[1]] != group[row]) & (ids[sides[1]] != ids[row]))
-            hit = other[_linked(sets[0], sets[1], np.full(len(other), k), other, setting.percent)]
-            _, one = np.unique(group[sides[1]][hit], return_index=True)  # a link to each component is enough
-            edges += [(int(ids[row]), int(ids[sides[1][x]])) for x in hit[one]]
+        for row, other in zip(ours, met, strict=True):
+            a, b = np.searchsorted(used, np.full(len(other), row)), np.searchsorted(used, other)
+            hit = other[_linked(sets, sets, a, b, setting.percent)]
+            _, one = np.unique(group[hit], return_index=True)  # a link to each component is enough
+            edges += [(int(ids[row]), int(ids[x])) for x in hit[one]]
         return pa.table({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([x for _, x in edges], pa.int64())})
 
     return task
@@ -163,26 +174,28 @@ def near_duplicates(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
 
     Both sides of a join grow with the corpus, so the joins are merges at every size.
     """
+    key = new_key()
     docs = documents(docs).withColumn("version", F.xxhash64("text"))
-    sketched = stored(docs.mapInArrow(_sketch_task(setting), "doc_id long, version long, n_shingles long, digest binary, bands array<long>"), "sketches")
+    sketched = stored(docs.mapInArrow(_sketch_task(setting, key), "doc_id long, version long, n_shingles long, digest binary, bands array<long>, sketch binary"), "sketches")
     solid = sketched.where("n_shingles > 0 and doc_id is not null")
     classes = stored(solid.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
     nodes = solid.select("doc_id", "version", "n_shingles", "digest", "bands").join(classes.withColumnRenamed("node", "doc_id").hint("merge"), ["digest", "n_shingles", "doc_id"], "left_semi")
-    keys = nodes.select(F.struct(F.col("doc_id").alias("node"), "version").alias("key"), F.explode("bands").alias("band"))
+    keys = nodes.select(F.struct(F.col("doc_id").alias("node"), "version", F.col("n_shingles").alias("size")).alias("key"), F.explode("bands").alias("band"))
     stars = keys.groupBy("band").agg(F.min("key").alias("star"), F.max("key").alias("last")).where("star != last").select("band", "star")
     met = keys.join(stars.hint("merge"), "band").where("star != key")
-    pairs = stored(met.select(F.col("star.node").alias("star"), F.col("star.version").alias("star_version"), F.col("key.node").alias("member"), F.col("key.version").alias("version")).distinct(), "pairs")
+    pairs = met.select(F.col("star.node").alias("star"), F.col("star.version").alias("star_version"), F.col("key.node").alias("member"), F.col("key.version").alias("version"), F.col("key.size").alias("size"), F.col("star.size").alias("star_size")).distinct()
+    pairs = stored(pairs.withColumn("fits", 100 * F.least("size", "star_size") >= setting.percent * F.greatest("size", "star_size")).drop("star_size"), "pairs")
 
     wanted = pairs.select(F.col("star").alias("doc_id"), F.col("star_version").alias("version")).union(pairs.select("member", "version")).distinct()
     texts = stored(docs.join(wanted.hint("merge"), ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"]), "texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("member"), "version", "text").hint("merge"), ["member", "version"])
+    both = pairs.where("fits").join(texts.select(F.col("doc_id").alias("member"), "version", "text").hint("merge"), ["member", "version"])
     both = both.join(texts.select(F.col("doc_id").alias("star"), F.col("version").alias("star_version"), F.col("text").alias("star_text")).hint("merge"), ["star", "star_version"])
     both = both.select("star", "star_version", "member", "version", "star_text", "text")
-    checked = stored(both.mapInArrow(_confirm_task(setting), "star long, star_version long, member long, version long, linked boolean"), "checked")
+    checked = stored(both.mapInArrow(_confirm_task(setting, key), "star long, star_version long, member long, version long, linked boolean"), "checked")
     edges = checked.where("linked").select(F.col("star").alias("a"), F.col("member").alias("b")).union(_shared_ids(solid, classes))
     known = components(edges)
 
-    edges = edges.union(_open_edges(checked, known, texts, setting))
+    edges = edges.union(_open_edges(pairs, checked, known, texts, sketched, setting, key))
     known = components(edges)
     member = classes.join(known, "node", "left").select("digest", "n_shingles", F.coalesce("component", "node").alias("component"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(member.hint("merge"), ["digest", "n_shingles"], "left")
@@ -197,14 +210,30 @@ def _shared_ids(solid: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(classes.hint("merge"), ["digest", "n_shingles"]).where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
 
-def _open_edges(checked: DataFrame, known: DataFrame, texts: DataFrame, setting: Setting) -> DataFrame:
-    """Links of members that aren't linked to their star with members of other components of the same star."""
-    groups = checked.groupBy("star", "star_version").agg(F.count("*").alias("size"), F.sum((~F.col("linked")).cast("long")).alias("open_size")).where("open_size > 0 and size > 1")
-    rows = checked.join(groups, ["star", "star_version"]).join(known.withColumnRenamed("node", "member"), "member", "left")
-    rows = rows.select("star", "star_version", F.col("member").alias("node"), "version", (~F.col("linked")).alias("is_open"), F.coalesce("component", "member").alias("component"), F.ceil(F.col("open_size") / OPEN_BLOCK).alias("across"), F.ceil(F.col("size") / ALL_BLOCK).alias("down"))
-    at = F.xxhash64("node", "version")
-    common = ["star", "star_version", "node", "version", "component"]
-    opened = rows.where("is_open").select(*common, F.lit(True).alias("open"), F.pmod(at, F.col("across")).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("down") - 1)).alias("y"))
-    others = rows.select(*common, F.lit(False).alias("open"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1)).alias("x"), F.pmod(at, F.col("down")).alias("y"))
-    blocks = opened.union(others).join(texts.withColumnRenamed("doc_id", "node").hint("merge"), ["node", "version"])
-    return stored(blocks.groupBy("star", "star_version", "x", "y").applyInArrow(_open_task(setting), "a long, b long"), "open-links")
+def _open_edges(pairs: DataFrame, checked: DataFrame, known: DataFrame, texts: DataFrame, sketched: DataFrame, setting: Setting, key: int) -> DataFrame:
+    """Links of members that aren't linked to their star with members of other components of the same star.
+
+    A group is cut into blocks of bounded rows and shingles; groups without open members, or with one member, make none.
+    """
+    at, star = ["star", "star_version", "member", "version"], ["star", "star_version"]
+    rows = pairs.join(checked.hint("merge"), at, "left").select(*at, "size", (~F.coalesce("linked", F.lit(False))).alias("is_open"))
+    rows = stored(rows.join(known.withColumnRenamed("node", "member").hint("merge"), "member", "left").select(*at, "size", "is_open", F.coalesce("component", "member").alias("component")), "members")
+    number = lambda column, most: F.ceil(F.sum(column) / most)
+    is_open = F.col("is_open").cast("long")
+    groups = rows.groupBy(*star).agg(
+        F.greatest(number(is_open, OPEN_BLOCK), number(is_open * F.col("size"), OPEN_SHINGLES)).alias("across"),
+        F.greatest(number(F.lit(1), ALL_BLOCK), number("size", ALL_SHINGLES)).alias("down"),
+        F.sum(is_open).alias("open_rows"), F.count("*").alias("all_rows"), F.min("component").alias("low"), F.max("component").alias("high"),
+    )
+    groups = stored(groups.where("open_rows > 0 and all_rows > 1 and low < high").select(*star, "across", "down"), "groups")
+    rows = rows.join(groups, star).select(*star, F.col("member").alias("node"), "version", F.col("size").alias("n_shingles"), "is_open", "component", "across", "down")
+    spot = F.xxhash64("node", "version")
+    common = [*star, "node", "version", "n_shingles", "component"]
+    opened = rows.where("is_open").select(*common, F.lit(True).alias("open"), F.pmod(spot, F.col("across")).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("down") - 1)).alias("y"))
+    others = rows.select(*common, F.lit(False).alias("open"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1)).alias("x"), F.pmod(spot, F.col("down")).alias("y"))
+    one = ["node", "version"]
+    needed = rows.select(*one).distinct()
+    marks = sketched.select(F.col("doc_id").alias("node"), "version", "sketch").join(needed.hint("merge"), one, "left_semi").dropDuplicates(one)
+    full = stored(texts.withColumnRenamed("doc_id", "node").join(marks.hint("merge"), one), "marked-texts")
+    blocks = opened.union(others).join(full.hint("merge"), one)
+    return stored(blocks.groupBy(*star, "x", "y").applyInArrow(_open_task(setting, key), "a long, b long"), "open-links")
