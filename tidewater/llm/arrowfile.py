@@ -18,6 +18,8 @@ from .tokens import piece_encoder, rows_within
 
 #: Ids in a row of a file, rows in a batch, and ids after which a new file begins (at a document's end).
 LENGTH, ROWS, FILE_IDS = 1024, 256, 32 << 20
+#: Bytes of texts, or of packed ids, that one part of the order gets.
+PART_BYTES = 64 << 20
 NOTES = "doc_id long, part int, file string, file_start long, part_start long, n_tokens long"
 
 
@@ -25,6 +27,12 @@ def filesystem(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else fs.FileSystem.from_uri("file://" + path.removeprefix("file:"))
 
 
+def parts_for(rows: DataFrame, column: str) -> int:
+    """So many parts that each gets about PART_BYTES of a column, as many as a shuffle makes at least."""
+    total = rows.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+
+
 class Writer:
     """One Arrow IPC file. Ids run on from row to row; only the last row has a mask with false in it."""
 
@@ -92,7 +100,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, parts: int
         if out is not None:
             out.close()
 
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or parts_for(documents(docs), "text")
     ordered = documents(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     return stored(ordered.mapInArrow(task, NOTES), "arrow-notes")
 

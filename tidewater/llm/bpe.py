@@ -54,6 +54,8 @@ class WordBpe:
         self.token = [""] * (max(*vocab.values(), *self.special.values()) + 1)
         for text, number in (*vocab.items(), *self.special.items()):
             self.token[number] = text
+        if len(self.token) > 1 << 16:
+            raise ValueError("a pair of ids must fit in 32 bits")
         letters = byte_letters()
         self.inside = np.array([vocab[c] for c in letters])
         self.last = np.array([vocab[c + suffix] for c in letters])
@@ -149,9 +151,9 @@ class Encoder:
     def __init__(self, path: str, lexicon: str) -> None:
         self.bpe, self.lexicon = word_bpe(path), Lexicon(lexicon)
         self.known = Remembered(self._new)
-        self.tokens = pa.array(self.bpe.token, pa.string())
+        self.tokens = pa.array(self.bpe.token, pa.large_string())
 
-    def _new(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _new(self, strings: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Ids of pieces: of their words and special tokens in turn."""
         numbers: dict[bytes, int] = {}
         order, counts = [], np.zeros(len(strings), np.int64)
@@ -178,7 +180,7 @@ class Encoder:
         starts[plain], lengths[plain] = start[of[plain]], size[of[plain]]
         ids, ends = gather(table, starts, lengths)
         edge = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(edge)
+        return strings, ids, np.diff(edge)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, where each text's ids end)."""
@@ -193,7 +195,7 @@ class Encoder:
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
         """The tokens of each text, joined by spaces, as files without a decoder have it."""
         offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
-        return pc.binary_join(pa.ListArray.from_arrays(offsets, self.tokens.take(pa.array(ids))), " ")
+        return pc.binary_join(pa.ListArray.from_arrays(offsets, self.tokens.take(pa.array(ids))), pa.scalar(" ", pa.large_string()))
 
 
 @functools.lru_cache(maxsize=2)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import documents, stored
-from .arrowfile import part_starts
+from .arrowfile import part_starts, parts_for
 from .tokens import piece_encoder, rows_within
 
 #: Dimensions that hashed vectors are projected to, bits of each on the curve, and the reach of a coordinate.
@@ -70,12 +70,13 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         table = projection(encoder.tokenizer.get_vocab_size())
         for batch in rows_within(batches, 1):
             ids, ends = encoder.encode(batch.column(1))
-            keys, flat = curve_key(ids, ends, table), ids.astype("<u4" if wide else "<u2")
-            last, at, blobs = np.array([end_id], flat.dtype).tobytes(), 0, []
-            for end in ends:
-                blobs.append(flat[at:end].tobytes() + last)
-                at = end
-            yield pa.record_batch([batch.column(0), pa.array(blobs, pa.binary()), pa.array(keys)], names=["doc_id", "ids", "key"])
+            flat = np.full(len(ids) + len(ends), end_id, "<u4" if wide else "<u2")
+            inside = np.ones(len(flat), bool)
+            inside[ends + np.arange(len(ends))] = False
+            flat[inside] = ids
+            bounds = np.concatenate([[0], (ends + np.arange(1, len(ends) + 1)) * flat.itemsize])
+            blobs = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(flat)])
+            yield pa.record_batch([batch.column(0), blobs.cast(pa.binary()), pa.array(curve_key(ids, ends, table))], names=["doc_id", "ids", "key"])
 
     return documents(docs).mapInArrow(task, "doc_id long, ids binary, key long")
 
@@ -136,7 +137,7 @@ def pack(vectors: DataFrame, length: int, width: int, parts: int | None = None)
         if rows:
             yield batch_out()
 
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or parts_for(vectors, "ids")
     ordered = vectors.repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
     pieces = stored(ordered.select("doc_id", "ids").mapInArrow(task, PIECES), "pieces")
     sizes = pieces.groupBy("part").agg((F.max("sequence") + 1).alias("size"))

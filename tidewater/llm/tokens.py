@@ -15,6 +15,8 @@ CUT = re.compile(r"(?<=\S)(?= )")
 #: The same for RE2, which has no look-behind: white space of Unicode is spelt out.
 BLANKS = r"\s\v\p{Z}\x{85}\x{1c}-\x{1f}"
 VISIBLE_THEN_SPACE, BLANK_THEN_SPACE = f"([^{BLANKS}]) ", f"[{BLANKS}] "
+#: Pieces in a text that the library gets.
+JOINED = 2_000
 #: A noncharacter that marks the cuts; texts that hold it are cut by CUT.
 MARK = "\U0010ffff"
 
@@ -49,7 +51,7 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple
 class Remembered:
     """The ids of each distinct string met so far, about `keep` strings at most.
 
-    encode(list of strings) gives (ids of all strings, how many each has).
+    encode(list of strings) gives (the strings in some order, ids of all of them, how many each has).
     """
 
     def __init__(self, encode, keep: int = 600_000) -> None:
@@ -68,7 +70,7 @@ class Remembered:
         new = [x for x in strings if x not in known]
         for at in range(0, len(new), 50_000):
             part = new[at : at + 50_000]
-            ids, lengths = self.encode(part)
+            part, ids, lengths = self.encode(part)
             known.update(zip(part, range(len(known), len(known) + len(part)), strict=True))
             end = int(self.ends[-1])
             while end + len(ids) > len(self.ids):
@@ -93,14 +95,31 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        found = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes = np.zeros(max(found.values()) + 1, np.int64)
+        for token, number in found.items():
+            self.bytes[number] = len(token)  # each character of a byte-level token stands for a byte
         self.known = Remembered(self._new)
 
-    def _new(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if any(s in x for s in self.special for x in strings):  # tokens of their own, which have no word number
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-            return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
-        one = self.tokenizer.encode_batch([strings], is_pretokenized=True, add_special_tokens=False)[0]
-        return np.array(one.ids, np.uint32), np.bincount(np.array(one.word_ids, np.int64), minlength=len(strings))
+    def _new(self, strings: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Pieces that begin with a space and end visibly go to the library one after the other, in long texts that are
+        cut again by the bytes of their ids; others, and all beside a special token's string, go one by one."""
+        alone = [not (x[:1] == " " and not x[-1].isspace()) for x in strings]
+        if any(s in x for s in self.special for x in strings):
+            alone = [True] * len(strings)
+        inner = [x for x, a in zip(strings, alone, strict=True) if not a]
+        texts = ["".join(inner[at : at + JOINED]) for at in range(0, len(inner), JOINED)]
+        ids = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate([*ids, np.zeros(0, np.uint32)])
+        ends = np.cumsum(self.bytes[ids])
+        wanted = np.cumsum(np.array([len(x.encode()) for x in inner], np.int64))
+        counts = np.searchsorted(ends, wanted) + 1
+        if len(wanted) and not (ends[counts - 1] == wanted).all():
+            raise ValueError("an id goes over the edge of a piece")
+        rest = [x for x, a in zip(strings, alone, strict=True) if a]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        ids = np.concatenate([ids, np.array([i for x in found for i in x], np.uint32)])
+        return inner + rest, ids, np.concatenate([np.diff(counts, prepend=0), np.array([len(x) for x in found], np.int64)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, where each text's ids end)."""
