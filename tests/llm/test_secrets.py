@@ -40,18 +40,38 @@ def test_op10_against_brute_force(spark, sf, tmp_path):
 
 def test_ledger_scans_only_what_is_new(spark):
     first = versions(frame(spark, ["token=abcdefgh", "token=abcdefgh", "clean"]))
-    ledger = secrets.update_ledger(first)
-    assert ledger.count() == 2
+    ledger = secrets.Ledger(spark)
+    assert ledger.unseen(first).count() == 2
+    ledger.update(first)
     second = first.union(versions(frame(spark, ["password: qwertyui"])))
-    new = secrets.update_ledger(second, ledger)
-    assert [len(r.findings) for r in new.collect()] == [1]
-    assert secrets.update_ledger(second, ledger.union(new)).count() == 0
-    assert secrets.update_ledger(second, ledger.union(new), rules_version="base-2").count() == 3
-    assert secrets.findings_by_path(second, ledger.union(new)).where("size(findings) > 0").count() == 3
+    assert [r.content for r in ledger.unseen(second).collect()] == ["password: qwertyui"]
+    ledger.update(second)
+    ledger.update(second)
+    assert ledger.rows().count() == 3 and ledger.by_path(second).where("size(findings) > 0").count() == 3
+    fewer = secrets.Ledger(spark, ledger.path, secrets.BASE_RULES[1:])
+    assert fewer.version != ledger.version and fewer.unseen(second).count() == 3
+    fewer.update(second)
+    assert fewer.by_path(second).where("size(findings) > 0").count() == 0
+    again = secrets.Ledger(spark, ledger.path)  # opened a second time: nothing is lost or scanned again
+    assert again.unseen(second).count() == 0 and again.rows().count() == 6
+
+
+def test_odd_paths_long_texts_and_no_rows(spark):
+    long = "x " * 300_000 + "token=abcdefgh " + "é" * 10 + " AKIA" + "A" * 16 + " y" * 300_000
+    rows = spark.createDataFrame([(None, "token=abcdefgh"), (None, None), (1, long), (1, long), (1, "")], "path long, content string")
+    ledger = secrets.Ledger(spark)
+    ledger.update(rows)
+    got = ledger.by_path(rows).select("path", secrets.as_text(F.col("findings")).alias("t")).collect()
+    want = ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in brute(long))
+    assert sorted(((r.path or 0, r.t) for r in got)) == sorted([(0, "assign:0:14"), (0, ""), (1, want), (1, want), (1, "")])
+    ledger.update(rows.limit(0))
+    assert ledger.by_path(rows.limit(0)).count() == 0
 
 
 def test_redaction(spark):
     docs = versions(frame(spark, ["x token=abcdefgh y", "clean", None, "secret: " + "0123456789abcdef" * 2 + " end"]))
-    found = secrets.findings_by_path(docs, secrets.update_ledger(docs)).join(docs, "path")
+    ledger = secrets.Ledger(spark)
+    ledger.update(docs)
+    found = ledger.by_path(docs).join(docs, "path")
     got = {r.path: r.t for r in found.select("path", secrets.redact(F.col("content"), F.col("findings")).alias("t")).collect()}
     assert got == {0: "x [secret] y", 1: "clean", 2: None, 3: "[secret] end"}

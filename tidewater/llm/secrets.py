@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+from dataclasses import astuple, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ._common import stored
+from ._common import scratch, stored
 
 
 @dataclass(frozen=True)
@@ -28,7 +29,6 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
-RULES_VERSION = "base-1"
 LEDGER = T.StructType([T.StructField(n, T.StringType()) for n in ("blob_id", "rules_version")] + [T.StructField("findings", T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("to", T.LongType()), T.StructField("kind", T.StringType())])))])
 
 
@@ -65,25 +65,52 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return placed.groupBy("blob_id").agg(F.sort_array(F.collect_list(span)).alias("findings"))
 
 
-def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = BASE_RULES, rules_version: str = RULES_VERSION) -> DataFrame:
-    """New rows for the ledger: findings of each blob that it doesn't have under this version of the rules.
+def version_of(rules: tuple[Rule, ...]) -> str:
+    """A digest of the rules, so that changed rules are another version."""
+    return hashlib.sha256(repr([astuple(r) for r in rules]).encode()).hexdigest()[:16]
 
-    versions has a path and its content at some time; a null content is an empty one. One content under many paths or
-    at many times is one blob and is scanned once. Blobs without findings get a row with an empty list.
+
+def _blob_id() -> Column:
+    return F.sha2(F.coalesce("content", F.lit("")), 256)
+
+
+class Ledger:
+    """A table in the shared folder: the findings of each blob under each version of the rules, written once.
+
+    versions, wherever they are asked for, has a path and its content at some time; a null content is an empty one and
+    a null path is one like others. One content under many paths or at many times is one blob and is scanned once.
     """
-    blobs = versions.select(F.sha2(F.coalesce("content", F.lit("")), 256).alias("blob_id"), F.coalesce("content", F.lit("")).alias("content"))
-    if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rules_version") == rules_version).select("blob_id"), "blob_id", "left_anti")
-    found = stored(scan(blobs.dropDuplicates(["blob_id"]), rules), "findings")
-    scanned = blobs.select("blob_id").distinct().join(found, "blob_id", "left")
-    return scanned.select("blob_id", F.lit(rules_version).alias("rules_version"), F.coalesce("findings", no_findings()).alias("findings"))
-
-
-def findings_by_path(versions: DataFrame, ledger: DataFrame, rules_version: str = RULES_VERSION) -> DataFrame:
-    """Every row of versions with the findings of its blob, an empty list if there are none."""
-    known = ledger.where(F.col("rules_version") == rules_version).select("blob_id", "findings")
-    paths = versions.select("path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("blob_id"))
-    return paths.join(known, "blob_id", "left").select("path", "blob_id", F.coalesce("findings", no_findings()).alias("findings"))
+
+    def __init__(self, spark: SparkSession, path: str | None = None, rules: tuple[Rule, ...] = BASE_RULES) -> None:
+        self.spark, self.path, self.rules, self.version = spark, path or scratch(spark, "ledger"), rules, version_of(rules)
+        spark.createDataFrame([], LEDGER).write.mode("append").parquet(self.path)
+
+    def rows(self) -> DataFrame:
+        """blob_id, rules_version and findings of all blobs and versions."""
+        return self.spark.read.schema(LEDGER).parquet(self.path)
+
+    def known(self) -> DataFrame:
+        """blob_id and findings under these rules. Two writers at a time may both have scanned a blob; their rows are equal."""
+        return self.rows().where(F.col("rules_version") == self.version).select("blob_id", "findings")
+
+    def unseen(self, versions: DataFrame) -> DataFrame:
+        """blob_id and content of the blobs that the ledger lacks under these rules, each once."""
+        blobs = versions.select(_blob_id().alias("blob_id"), F.coalesce("content", F.lit("")).alias("content"))
+        return blobs.join(self.known().select("blob_id"), "blob_id", "left_anti").dropDuplicates(["blob_id"])
+
+    def update(self, versions: DataFrame) -> None:
+        """Scans what is unseen and appends it; a blob without findings gets an empty list."""
+        new = stored(self.unseen(versions), "unseen")
+        found = scan(new, self.rules)
+        rows = new.select("blob_id").join(found, "blob_id", "left")
+        rows.select("blob_id", F.lit(self.version).alias("rules_version"), F.coalesce("findings", no_findings()).alias("findings")).write.mode("append").parquet(self.path)
+
+    def by_path(self, versions: DataFrame) -> DataFrame:
+        """Every row of versions with the findings of its blob; both sides are read from tables, so that Spark can split
+        the paths of a very common blob."""
+        paths = versions.select("path", _blob_id().alias("blob_id"))
+        known = stored(self.known().dropDuplicates(["blob_id"]), "known")
+        return paths.join(known, "blob_id", "left").select("path", "blob_id", F.coalesce("findings", no_findings()).alias("findings"))
 
 
 def as_text(findings: Column) -> Column:
