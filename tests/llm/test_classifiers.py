@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -7,7 +8,7 @@ import pytest
 
 from tidewater.llm import quality, toxicity
 
-from .fixtures import AWKWARD, frame
+from .fixtures import AWKWARD, frame, small
 
 
 def labels(spark, rows):
@@ -46,6 +47,83 @@ def test_features_do_not_depend_on_the_batch():
     assert np.isfinite(together).all() and np.allclose(together, alone)
 
 
+def plain_features(text):
+    """The features, one text at a time, word by word."""
+    raw = text.encode()
+    spelt, size = raw.split(), len(raw)
+    n, some, length = len(spelt), max(len(spelt), 1), max(size, 1)
+    of = lambda chars: sum(raw.count(bytes([c])) for c in chars.encode())
+    groups = [of(x) for x in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t\n\v\f\r")] + [sum(c > 127 for c in raw)] + [of(x) for x in ("!", "|", "%$&*#@^~<>{}[]\\=+_/", ".,;:?'\"-()")]
+    entropy = -sum(raw.count(c) / size * math.log2(raw.count(c) / size) for c in {bytes([c]) for c in raw})
+    pairs = {tuple(spelt[i : i + 2]) for i in range(max(n - 1, min(n, 1)))}
+    marks, ends = of("%$&*#"), of(".!?")
+    return [
+        math.log1p(n), min((size - groups[3]) / some, 40), *(g / length for g in groups), 1 - sum(groups) / length, entropy, len(set(spelt)) / some, sum(a == b for a, b in zip(spelt, spelt[1:])) / some, len(pairs) / some,
+        math.log1p(n / (raw.count(b"\n") + 1)), min(ends / some, 3), n < 12, min(groups[5] / some, 4), min(groups[6] / some, 4), min(marks / some, 4),
+    ]
+
+
+def test_op7_against_brute_force(spark, sf):
+    """Features by plain counting, then the model's score of them, for every row."""
+    texts = [x or "" for x in AWKWARD] + small(spark, sf) + ["a b " * 50_000]
+    want = np.array([plain_features(x) for x in texts], float)
+    assert np.allclose(quality.features(pa.array(texts)), want, atol=1e-9)
+    docs = frame(spark, texts)
+    rows = [(k, int(len(t) > 400), 0) for k, t in enumerate(texts)]
+    model = quality.train(docs, labels(spark, rows))
+    mean, scale = quality.moments(docs)
+    assert np.allclose(mean, want.mean(axis=0)) and np.allclose(scale, want.std(axis=0), atol=1e-6)
+    got = {r.doc_id: r for r in quality.predicted(docs, labels(spark, rows)).collect()}
+    for k, x in enumerate(want):
+        hidden = [math.tanh(sum(max(-6, min(6, (v - m) / s)) * w for v, m, s, w in zip(x, model.mean, model.scale, column)) + b) for column, b in zip(model.weights[0].T, model.weights[1])]
+        score = 1 / (1 + math.exp(-(sum(h * w for h, w in zip(hidden, model.weights[2])) + model.weights[3][0])))
+        assert abs(got[k].score - score) < 1e-6 and (abs(score - 0.5) < 1e-6 or got[k].predicted == int(score >= 0.5))
+
+
+@pytest.mark.parametrize("share", [0.1, 0.4, 0.7, 0.9])
+def test_class_prior_of_planted_shares(share):
+    rng = np.random.default_rng(int(share * 10))
+    mixed = np.concatenate([rng.normal(1, 1, (int(3000 * share), 5)), rng.normal(-1.5, 1, (3000 - int(3000 * share), 5))])
+    rng.shuffle(mixed)
+    assert abs(quality.class_prior(rng.normal(1, 1, (1500, 5)), mixed) - share) < 0.06
+
+
+def plain_score(lexicon, text):
+    """Every word against every entry, without an automaton."""
+    spelt, total = toxicity.fold(text).split(), 0.0
+    for k, word in enumerate(spelt):
+        fits = [w for term, w in lexicon.weights.items() if (term == f" {word} " if term.endswith(" ") else word.startswith(term[1:]))]
+        near = {" ".join(spelt[max(0, k - 1) : k + 1]), " ".join(spelt[k : k + 2])}
+        if fits and not near & lexicon.exceptions:
+            total += max(0.0, *fits, 0.0)
+    a, b, c, d = lexicon.line
+    return 1 / (1 + math.exp(-(a * math.log1p(total) + b * math.log1p(100 * total / (len(spelt) + 20)) + c * math.log2(len(spelt) + 4) + d)))
+
+
+def test_op3_against_brute_force(spark):
+    docs, known = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    lexicon = toxicity.train(docs, known)
+    assert lexicon.weights
+    some = max(lexicon.weights, key=lexicon.weights.get)
+    odd = [x or "" for x in AWKWARD] + [f"{'y' * 300}   {some.strip()}   {'z' * 300}", some.strip() * 2, f"{some.strip()} " * 20_000]
+    texts = odd + [r.text for r in docs.select("text").collect()]
+    got = {r.doc_id: r.score for r in toxicity.score(frame(spark, texts), lexicon).collect()}
+    assert max(abs(got[k] - plain_score(lexicon, t)) for k, t in enumerate(texts)) < 1e-9
+
+
+def test_neighbours_of_any_length():
+    folded = f" {'p' * 500}     word   {'q' * 500} "
+    assert toxicity.phrases(folded, folded.index(" word")) == [f"{'p' * 500} word", f"word {'q' * 500}"]
+    assert toxicity.phrases(" word ", 0) == []
+
+
+def test_held_out_toxic_documents_are_found(spark):
+    docs, known = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = {r.doc_id: r for r in toxicity.predicted(docs, known).collect()}
+    held = [(rows[r.doc_id].predicted, r.toxic) for r in known.collect() if rows[r.doc_id].held_out]
+    assert sum(p for p, y in held if y) >= 0.88 * sum(y for _, y in held) and sum(p for p, y in held if not y) <= 0.005 * len(held)
+
+
 def test_non_negative_risk_separates():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(1, 1, (3000, 5)), rng.normal(-1.5, 1, (3000, 5))

@@ -15,7 +15,8 @@ from ._common import documents, held_out, sampled
 from .tokens import rows_within
 from .words import BLANK, HASHED, buffer, shingles, words
 
-#: Rows of a class and unlabelled rows that a model is fitted on, or hardly more. Rows are taken by a hash of their id.
+#: Labelled rows that a model is fitted on, or hardly more: so many with label 1, and so many of either label whose label
+#: isn't looked at. Rows are taken by a hash of their id.
 SAMPLE = 4_000
 
 FEATURES = (
@@ -75,6 +76,23 @@ def _feature_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([batch.column(0), pa.array(list(features(batch.column(1))), pa.list_(pa.float64()))], names=["doc_id", "x"])
 
 
+def _moment_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each feature and batch: how many rows, their sum and their sum of squares."""
+    for batch in rows_within(batches, 0, HASHED):
+        x = features(batch.column(0))
+        size = x.shape[1]
+        yield pa.record_batch([pa.array(range(size), pa.int32()), pa.array([len(x)] * size, pa.int64()), pa.array(x.sum(axis=0)), pa.array((x * x).sum(axis=0))], names=["feature", "n", "total", "squares"])
+
+
+def moments(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of each feature over all documents; a row for each feature comes to the driver."""
+    sums = documents(docs).select("text").mapInArrow(_moment_task, "feature int, n long, total double, squares double")
+    found = sums.groupBy("feature").agg(F.sum("n"), F.sum("total"), F.sum("squares")).orderBy("feature").collect()
+    n, total, squares = (np.array([r[k] for r in found], float) for k in (1, 2, 3))
+    mean = total / n
+    return mean, np.sqrt(np.maximum(squares / n - mean**2, 0))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
@@ -96,14 +114,101 @@ class Model:
         return _sigmoid(self.raw(x))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16, turns: int = 250, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, mean: np.ndarray | None = None, scale: np.ndarray | None = None, hidden: int = 16, turns: int = 250, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Model:
+    """Minimises prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) with the sigmoid loss.
+
+    When the part in max() falls below zero, a step goes up its gradient instead, as non-negative learning asks.
+    Without a mean and a scale those of the given rows are taken.
+    """
+    rng = np.random.default_rng(seed)
+    every = np.concatenate([positive, unlabelled])
+    model = Model(every.mean(axis=0) if mean is None else mean, (every.std(axis=0) if scale is None else scale) + 1e-6, [])
+    size = every.shape[1]
+    model.weights = [rng.normal(0, 1 / np.sqrt(size), (size, hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.array([np.log(prior / (1 - prior))])]
+    moment = [np.zeros_like(w) for w in model.weights]
+    second = [np.zeros_like(w) for w in model.weights]
+    data = np.clip((every - model.mean) / model.scale, -6, 6)
+    known = np.arange(len(data)) < len(positive)
+    for turn in range(1, turns + 1):
+        a, b, c, d = model.weights
+        held = np.tanh(data @ a + b)
+        g = held @ c + d[0]
+        p = _sigmoid(g)
+        slope = p * (1 - p)  # of the loss of calling a row positive when it is negative
+        negative = np.where(known, -prior * p / len(positive), p / max(1, len(unlabelled))).sum()
+        wrong = np.where(known, -prior * slope / len(positive), slope / max(1, len(unlabelled)))
+        right = np.where(known, -prior * slope / len(positive), 0)
+        step = right + wrong if negative >= 0 else -wrong
+        inner = np.outer(step, c) * (1 - held**2)
+        grads = [data.T @ inner + decay * a, inner.sum(axis=0), held.T @ step + decay * c, np.array([step.sum()])]
+        for k, grad in enumerate(grads):
+            moment[k] = 0.9 * moment[k] + 0.1 * grad
+            second[k] = 0.999 * second[k] + 0.001 * grad**2
+            model.weights[k] = model.weights[k] - rate * (moment[k] / (1 - 0.9**turn)) / (np.sqrt(second[k] / (1 - 0.999**turn)) + 1e-8)
+    return model
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, mean: np.ndarray | None = None, scale: np.ndarray | None = None) -> float:
+    """The share of positives among unlabelled rows, from scores of both and no other label.
+
+    A model of one half of the rows, fitted as if half of the unlabelled ones were positive, ranks the other half, and
+    the other way round. Above any threshold the unlabelled rows hold at least prior times the share that the positives
+    have there, so the least ratio of both shares bounds the prior from above, and is it where a threshold leaves no
+    negatives. The ratio is taken where it is least together with its sampling error.
+    """
+    found = []
+    for turn in (0, 1):
+        model = fit(positive[turn::2], unlabelled[turn::2], 0.5, mean, scale, turns=120)
+        ours, all_ = (np.sort(model.raw(x[1 - turn :: 2])) for x in (positive, unlabelled))
+        if not len(ours) or not len(all_):
+            continue
+        cuts = np.unique(ours)
+        p, u = 1 - np.searchsorted(ours, cuts) / len(ours), 1 - np.searchsorted(all_, cuts) / len(all_)
+        error = np.sqrt(np.log(40) / (2 * len(ours))) + np.sqrt(np.log(40) / (2 * len(all_)))
+        best = int(np.argmin((u + error) / p))
+        found.append(u[best] / p[best])
+    return float(np.clip(np.mean(found), 1 / (len(unlabelled) + 2), 1 - 1 / (len(unlabelled) + 2))) if found else 0.5
+
+
+def _matrix(rows: DataFrame) -> np.ndarray:
+    found = rows.select("doc_id", "text").mapInArrow(_feature_task, "doc_id long, x array<double>").groupBy("doc_id").agg(F.min("x").alias("x")).collect()
+    return np.array([r.x for r in found]).reshape(-1, len(FEATURES))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
+    """A model from the trusted positives (label 1) and unlabelled texts; None where no label 1 may be learnt from.
+
+    Only rows outside the held-out fold give labels. Unlabelled texts are those of labelled rows outside that fold,
+    whatever their label says. Of either, about `sample` rows are used at most, a bound that keeps them small enough for
+    the driver. Means and scales of the features are those of all documents; the class prior is estimated from the
+    scores of positives and unlabelled texts. A document with several labels has the lowest, and rows that share a
+    doc_id count once, with the least of their features. No documents give no model.
+    """
+    docs = documents(docs)
+    known = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("y"))
+    chosen = sampled(known.where("y = 1"), "doc_id", sample).select("doc_id")
+    positive = _matrix(docs.join(F.broadcast(chosen), "doc_id", "left_semi"))
+    if not len(positive):
+        return None
+    drawn = sampled(known.select("doc_id"), "doc_id", sample)
+    unlabelled = _matrix(docs.join(F.broadcast(drawn), "doc_id", "left_semi"))
+    mean, scale = moments(docs)
+    return fit(positive, unlabelled, class_prior(positive, unlabelled, mean, scale), mean, scale)
+
+
+def score(self, x: np.ndarray) -> np.ndarray:
+        return _sigmoid(self.raw(x))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, mean: np.ndarray | None = None, scale: np.ndarray | None = None, hidden: int = 16, turns: int = 250, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Model:
     """Minimises prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) with the sigmoid loss.
 
     When the part in max() falls below zero, a step goes up its gradient instead, as non-negative learning asks.
+    Without a mean and a scale those of the given rows are taken.
     """
     rng = np.random.default_rng(seed)
     every = np.concatenate([positive, unlabelled])
-    model = Model(every.mean(axis=0), every.std(axis=0) + 1e-6, [])
+    model = Model(every.mean(axis=0) if mean is None else mean, (every.std(axis=0) if scale is None else scale) + 1e-6, [])
     size = every.shape[1]
     model.weights = [rng.normal(0, 1 / np.sqrt(size), (size, hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.array([np.log(prior / (1 - prior))])]
     moment = [np.zeros_like(w) for w in model.weights]
@@ -130,7 +235,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
 
 
 def _matrix(rows: DataFrame) -> np.ndarray:
-    found = rows.select("doc_id", "text").mapInArrow(_feature_task, "doc_id long, x array<double>").select("x").collect()
+    found = rows.select("doc_id", "text").mapInArrow(_feature_task, "doc_id long, x array<double>").groupBy("doc_id").agg(F.min("x").alias("x")).collect()
     return np.array([r.x for r in found]).reshape(-1, len(FEATURES))
 
 

@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from ._common import documents, held_out, sampled, stored
 from .tokens import rows_within
 
-#: Labelled rows that a lexicon is learnt from, or hardly more, chosen by a hash of their id, and entries of a lexicon.
-SAMPLE, ENTRIES = 20_000, 2_000
-#: Letters of a stem, least and most.
-STEM = (4, 8)
+#: Labelled rows that a lexicon is learnt from, or hardly more, chosen by a hash of their id.
+SAMPLE = 20_000
+#: Letters of a stem, least and most, and of a word that is an entry as a whole, most.
+STEM, WHOLE = (4, 8), 64
 
 #: Digits and signs that stand for letters. i and l fold into one, as 1 stands for either.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "l": "i"}
@@ -60,8 +60,8 @@ def fold(text: str) -> str:
 
 
 def terms(word: str) -> list[str]:
-    """What may stand for a folded word in a lexicon: its stems, and the whole word with its end."""
-    return [f" {word[:k]}" for k in range(STEM[0], min(STEM[1], len(word) - 1) + 1)] + ([f" {word} "] if len(word) > 2 else [])
+    """What may stand for a folded word in a lexicon: its stems, and the whole word with its end if it isn't longer than any word is."""
+    return [f" {word[:k]}" for k in range(STEM[0], min(STEM[1], len(word) - 1) + 1)] + ([f" {word} "] if 2 < len(word) <= WHOLE else [])
 
 
 @dataclass
@@ -99,10 +99,10 @@ class Lexicon:
         return found
 
     def sums(self, text: str) -> tuple[float, float, float]:
-        """(sum of weights, that sum for a hundred words, how often the text's length was doubled)."""
+        """(sum of weights, that sum for a hundred words, the text's words): the logarithm of each."""
         folded = fold(text)
         total, size = sum(self.hits(folded).values()), len(folded.split())
-        return min(total, 60.0), min(100 * total / (size + 20), 30.0), math.log2(size + 4)
+        return math.log1p(total), math.log1p(100 * total / (size + 20)), math.log2(size + 4)
 
     def score(self, text: str) -> float:
         at = sum(a * b for a, b in zip(self.line, (*self.sums(text), 1.0), strict=True))
@@ -111,8 +111,19 @@ class Lexicon:
 
 def phrases(folded: str, at: int) -> list[str]:
     """The word that begins after position `at`, with the word before it and with the word behind it."""
-    before, rest = folded[max(0, at - 80) : at].split(), folded[at : at + 160].split()
-    return [f"{x} {y}" for x, y in ((before[-1] if before else "", rest[0]), (rest[0], rest[1] if len(rest) > 1 else "")) if x and y]
+    end = folded.find(" ", at + 1)
+    word, out = folded[at + 1 : end], []
+    last = at
+    while last > 0 and folded[last - 1] == " ":
+        last -= 1
+    if last:
+        out.append(f"{folded[folded.rfind(' ', 0, last) + 1 : last]} {word}")
+    first = end
+    while first < len(folded) and folded[first] == " ":
+        first += 1
+    if first < len(folded):
+        out.append(f"{word} {folded[first : folded.find(' ', first)]}")
+    return out
 
 
 def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +134,7 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             label, seen = "toxic" if y > 0 else "clean", Counter()
             for word, times in Counter(fold(text).split()).items():
-                for term in ("", *terms(word[:64])):
+                for term in ("", *terms(word)):
                     seen[term] += times
             counts[label].update(seen.keys())
             counts[f"{label}_words"].update(seen)
@@ -163,7 +174,7 @@ def _line(x: np.ndarray, y: np.ndarray, turns: int = 80) -> tuple[float, ...]:
     return tuple(float(v) for v in w)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES) -> Lexicon:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     """Learns weights, exception phrases and the score's line from labels outside the held-out fold.
 
     A term is an entry if its log-likelihood ratio is beyond what the best of so many terms would reach by chance. Its
@@ -190,10 +201,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int
         weight = F.log((F.col("tw") + 0.5) / all_words.tw) - F.log((F.col("nw") + 0.5) / all_words.nw)
         ranked = counts.select("term", gain.alias("gain"), weight.alias("weight"), "t")
         least = 2 * math.log(max(2, ranked.count())) + 4
-        best = ranked.where("weight > 1").where(F.col("gain") >= least).orderBy(F.desc("gain"), "term").limit(entries).collect()
+        best = ranked.where("weight > 1").where(F.col("gain") >= least).select("term", "weight").collect()
         lexicon = Lexicon({r.term: r.weight for r in best})
         found = rows.mapInArrow(_phrase_task(lexicon), "phrase string, y int").groupBy("phrase").agg(F.count("*").alias("n"), F.sum("y").alias("t"))
-        spared = found.where("n - t >= 5 and t * 20 <= n").orderBy(F.desc("n"), "phrase").limit(entries).collect()
+        spared = found.where("n - t >= 5 and t * 20 <= n").select("phrase").collect()
         lexicon = Lexicon(lexicon.weights, frozenset(r.phrase for r in spared))
         sums = np.array([tuple(r) for r in rows.mapInArrow(_sum_task(lexicon), "total double, even double, size double, y int").collect()])
         return Lexicon(lexicon.weights, lexicon.exceptions, _line(sums[:, :3], sums[:, 3]))
