@@ -1,10 +1,13 @@
 """Sessions, DML, stages and channels, beyond what the oracle's queries show."""
 
+from decimal import Decimal
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from tidewater.functions import aggregates
 from tidewater.functions import dialect as d
 from tidewater.operators import dml, relational
 from tidewater.operators.session import Session
@@ -64,6 +67,11 @@ def test_seeds_and_batches(spark):
     with pytest.raises(ValueError):
         stages.seed(spark, [])
     assert [len(b) for b in stages.batches(spark.range(25), 10)] == [10, 10, 5]
+    mixed = spark.createDataFrame([(k, [f"x{k}", None]) for k in range(25)], "id long, xs array<string>")
+    frames, records = list(stages.pandas_batches(mixed, 10)), list(stages.arrow_batches(mixed, 10))
+    assert [len(f) for f in frames] == [10, 10, 5] == [r.num_rows for r in records] and list(frames[0].columns) == ["id", "xs"]
+    assert sorted(x for r in records for x in r.column("id").to_pylist()) == list(range(25)) and records[0].column("xs").to_pylist()[0][1] is None
+    assert list(stages.pandas_batches(mixed.limit(0))) == [] == list(stages.arrow_batches(mixed.limit(0)))
     assert stages.arrow_text(spark.range(3))
 
 
@@ -81,8 +89,25 @@ def test_channels_fence_stale_writers(spark):
     pipe.append(new, [{"id": 5}], "o3")
     assert pipe.drain().count() == 4
     assert pipe.status("c", "none")["c"].offset == "o3"
+    again = channels.Pipe(spark, pipe.folder, schema)  # another driver: what the log says holds for it too
+    with pytest.raises(channels.StaleToken):
+        again.append(old, spark.createDataFrame([(6, "x")], schema), "o4")
+    later = again.open("c")
+    with pytest.raises(channels.StaleToken):
+        pipe.append(new, [{"id": 7}], "o5")
+    again.append(later, spark.createDataFrame([(8, "y", 1)], "id long, name string, more int"), "o6")
+    again.append(later, spark.range(1).select("id"))
+    with pytest.raises(Exception):
+        again.append(later, spark.range(3).select(F.raise_error("no").alias("name")), "o7")
+    with pytest.raises(channels.StaleToken):
+        again.append("nobody:1", [{"id": 9}])
+    assert sorted(map(tuple, again.drain().collect())) == [(0, None), (1, "a"), (2, None), (4, None), (5, None), (8, "y")]
+    found = again.status("c")["c"]
+    assert (found.sequencer, found.rows, found.appends, found.errors, found.offset) == (3, 6, 5, 1, "o6") and "no" in found.last_error
     pipe.drop("c")
-    assert pipe.status("c") == {}
+    assert pipe.status("c") == {} and pipe.channels().count() == 0
+    with pytest.raises(KeyError):
+        pipe.drop("c")
 
 
 def test_fixed_expectations(spark):
@@ -134,3 +159,41 @@ def test_merge_fails_where_a_target_row_has_several_source_rows(spark):
     for run in (lambda df: df.collect(), lambda df: df.count()):
         with pytest.raises(Exception, match="several rows of the source"):
             run(merged(source.union(source)))
+
+
+def test_late_rows_of_a_stream_are_left_out(spark, tmp_path):
+    kind = "ts timestamp, value double"
+    for k, hours in enumerate(([0, 9], [8, 1], [14])):  # 01:00 comes when the watermark is past its window
+        rows = [(f"2024-01-01 {h:02}:10:00", 1.0) for h in hours]
+        spark.createDataFrame(rows, "ts string, value double").select(F.col("ts").cast("timestamp").alias("ts"), "value").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        events = spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        counts = channels.windowed_counts(events, "ts", "2 hours", value="value", late="2 hours", slide="1 hour")
+        got = channels.run_to_table(counts, f"{tmp_path}/out", mode="append")
+    starts = {r.start.hour: r.n for r in got.where("start >= '2024-01-01'").collect()}
+    assert starts == {0: 1, 7: 1, 8: 2, 9: 1}
+
+
+def test_ranges_of_any_width(spark):
+    ranges = [(0, -5.0, 5.0), (1, 0.0, 100_000.0), (2, 3.0, 3.0), (3, 7.5, 8.0), (4, 9.0, 2.0), (5, -1e6, 1e6), (6, None, 4.0)]
+    points = [(k, k * 0.75 - 20) for k in range(200)] + [(900, 99_999.9), (901, -1e6), (902, None)]
+    got = relational.range_join(spark.createDataFrame(points, "p int, at double"), "at", spark.createDataFrame(ranges, "r int, low double, high double"), "low", "high", 1.0)
+    want = {(p, r) for p, at in points for r, low, high in ranges if at is not None and low is not None and low <= at < high}
+    rows = [(x.p, x.r) for x in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert relational.range_join(spark.createDataFrame(points, "p int, at double"), "at", spark.createDataFrame([], "r int, low double, high double"), "low", "high", 1.0).count() == 0
+
+
+def test_exact_numbers_and_repeated_keys(spark):
+    big = spark.createDataFrame([(9007199254740993, Decimal("12345678901234567.89"), -2.75)], "i long, d decimal(20,2), x double")
+    row = big.select(d.trunc("i"), d.trunc("i", -3), d.trunc("d").cast("decimal(20,0)"), d.trunc("x"), d.trunc("x", 1)).first()
+    assert tuple(row) == (9007199254740993, 9007199254740000, Decimal(12345678901234567), -2.0, -2.7)
+    pairs = spark.createDataFrame([(1, "a", 1), (1, "a", 3), (1, None, 4), (1, "b", None), (2, None, None)], "g int, k string, v int")
+    assert {r.g: r.o for r in aggregates.object_agg(pairs, ["g"], F.col("k"), F.col("v"), "o").collect()} == {1: '{"a":3}', 2: "{}"}
+
+
+def test_a_missing_module_is_not_taken_for_a_missing_subpackage():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['tokenizers'] = sys.modules['ahocorasick'] = None; import __spark_entry__"
+    assert b"ahocorasick" in subprocess.run([sys.executable, "-c", code], cwd=contract.__file__.rpartition("/")[0], capture_output=True).stderr or not contract.corpus_pipeline

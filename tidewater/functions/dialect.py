@@ -171,9 +171,12 @@ def convert_timezone(source: str, target: str, when: Cols) -> Column:
 
 
 def trunc(x: Cols, digits: int = 0) -> Column:
-    """Cut off towards zero."""
-    x, scale = _c(x).cast("double"), float(10**digits)
-    return F.signum(x) * F.floor(F.abs(x) * scale) / scale
+    """Cut off towards zero. Without digits behind the point integers and decimals stay exact and keep their kind."""
+    x = _c(x)
+    if digits <= 0:
+        return x - x % F.lit(10**-digits)
+    moved = x * F.lit(10**digits)
+    return (moved - moved % F.lit(1)) / F.lit(10**digits)
 
 
 def sign(x: Cols) -> Column:
@@ -381,3 +384,8 @@ def try_base64_decode_string(text: Cols) -> Column:
 
 def hex_decode_string(text: Cols) -> Column:
     return F.unhex(_c(text)).cast("string")
+
+
+def time_from_parts(hour: Cols, minute: Cols, second: Cols) -> Column:
+    """A time of day; needs spark.sql.timeType.enabled."""
+    return F.make_time(_c(hour), _c(minute), _c(second))

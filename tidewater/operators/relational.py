@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.stages import scratch
+
+#: Bins that a range is in, beyond which bins of the next size are taken, so many times as wide.
+BINS = 16
+
 
 def generator(spark: SparkSession, rows: int, name: str = "seq") -> DataFrame:
     """Rows with the numbers from 1."""
@@ -12,14 +17,19 @@ def generator(spark: SparkSession, rows: int, name: str = "seq") -> DataFrame:
 
 
 def numbered(df: DataFrame, name: str = "seq") -> DataFrame:
-    """Adds numbers from 0 without gaps. Only the counts of partitions meet in one place, not the rows."""
-    spot = df.withColumn(name, F.monotonically_increasing_id())
+    """Adds numbers from 0 without gaps. Only the counts of partitions meet in one place, not the rows.
+
+    Rows are written with their places first, so that a task that runs again can't number them anew.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, "numbered")
+    df.withColumn(name, F.monotonically_increasing_id()).write.parquet(path)
+    spot = spark.read.parquet(path)
     part, row = F.shiftrightunsigned(F.col(name), 33).cast("int"), F.col(name).bitwiseAND((1 << 33) - 1)
     total, rows = 0, []
     for r in spot.groupBy(part.alias("part")).count().orderBy("part").collect():
         rows.append((r["part"], total))
         total += r["count"]
-    before = df.sparkSession.createDataFrame(rows, "__part int, __before long")
+    before = spark.createDataFrame(rows, "__part int, __before long")
     joined = spot.withColumn("__part", part).join(F.broadcast(before), "__part")
     return joined.select(*df.columns, (row + F.col("__before")).alias(name))
 
@@ -75,11 +85,19 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, values: list[
 
 
 def range_join(points: DataFrame, at: str, ranges: DataFrame, low: str, high: str, width: float) -> DataFrame:
-    """Points with the ranges [low, high) that they are in, by an equal join of bins of some width and a check."""
-    bins = F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))
-    dealt = ranges.withColumn("__bin", F.explode(bins))
-    joined = points.withColumn("__bin", F.floor(F.col(at) / width)).join(dealt, "__bin")
-    return joined.where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__bin")
+    """Points with the ranges [low, high) that they are in, by an equal join of bins and a check.
+
+    A range of more than BINS bins takes wider ones, BINS times at each level, so it never makes more than BINS + 2 rows;
+    a point has one bin at each level that some range is at, of which there are as many as the logarithm of the widest.
+    """
+    level = F.greatest(F.lit(0), F.ceil(F.log(float(BINS), (F.col(high) - F.col(low)) / (width * BINS)))).cast("int")
+    spread = ranges.where(F.col(high) > F.col(low)).withColumn("__level", level)
+    levels = [r[0] for r in spread.select("__level").distinct().collect()]
+    size = F.lit(width) * F.pow(F.lit(float(BINS)), F.col("__level"))
+    dealt = spread.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size))))
+    spots = points.withColumn("__level", F.explode(F.lit(levels or [0]).cast("array<int>"))).withColumn("__bin", F.floor(F.col(at) / size))
+    joined = spots.join(dealt, ["__level", "__bin"])
+    return joined.where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__bin", "__level")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner") -> DataFrame:

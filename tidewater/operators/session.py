@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +61,7 @@ class Session(Variables):
 
     def __init__(self, spark: SparkSession, database: str = "MAIN", schema: str = "PUBLIC", role: str = "SYSADMIN", warehouse: str = "DEFAULT_WAREHOUSE") -> None:
         super().__init__()
+        self.viewed: dict[str, DataFrame] = {}
         self.spark, self.role, self.warehouse = spark, role, warehouse
         self.database = self.schema = ""
         self.use_database(database)
@@ -95,7 +96,9 @@ class Session(Variables):
         return f"`{database}__{schema}`.`{table.strip(chr(34))}`"
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.table(self.resolve(name))
+        """A table, or a view of this session."""
+        found = self.resolve(name)
+        return self.viewed[found] if found in self.viewed else self.spark.table(found)
 
     def save(self, name: str, df: DataFrame, replace: bool = True) -> str:
         """CREATE [OR REPLACE] TABLE AS: the rows are written beside the old table, which then gives way."""
@@ -107,7 +110,13 @@ class Session(Variables):
         return f"Table {name.split('.')[-1].upper()} successfully created."
 
     def drop(self, name: str, kind: str = "TABLE") -> str:
-        self.spark.sql(f"DROP {kind} IF EXISTS {self.resolve(name)}")
+        """Drops a TABLE, a VIEW, or a SCHEMA of the current database with what stands in it."""
+        if kind == "VIEW":
+            self.viewed.pop(self.resolve(name), None)
+        elif kind == "SCHEMA":
+            self.spark.sql(f"DROP NAMESPACE IF EXISTS `{self.database}__{plain(name)}` CASCADE")
+        else:
+            self.spark.sql(f"DROP {kind} IF EXISTS {self.resolve(name)}")
         return f"{name.upper()} successfully dropped."
 
     def truncate(self, name: str) -> str:
@@ -115,13 +124,25 @@ class Session(Variables):
         return "Statement executed successfully."
 
     def view(self, name: str, df: DataFrame) -> str:
-        df.createOrReplaceTempView(plain(name))
-        return f"View {plain(name)} successfully created."
+        """A name for a DataFrame in the current schema, as long as this session lasts."""
+        self.viewed[self.resolve(name)] = df
+        return f"View {plain(name.split('.')[-1])} successfully created."
+
+    def add_column(self, name: str, column: str, kind: str) -> str:
+        """ALTER TABLE ADD COLUMN: rows that are there have null in it."""
+        self.spark.sql(f"ALTER TABLE {self.resolve(name)} ADD COLUMNS (`{column}` {kind})")
+        return "Statement executed successfully."
+
+    def drop_column(self, name: str, column: str) -> str:
+        """ALTER TABLE DROP COLUMN: the table is written again."""
+        self.save(name, self.table(name).drop(column))
+        return "Statement executed successfully."
 
     def insert(self, name: str, rows: DataFrame) -> dict[str, int]:
-        target = self.table(name)
-        dml.insert(target.limit(0), rows).write.insertInto(self.resolve(name))
-        return dml.counts(rows, "inserted")
+        """Rows are counted as they are written."""
+        seen = Observation()
+        dml.insert(self.table(name).limit(0), rows).observe(seen, F.count(F.lit(1)).alias("n")).write.insertInto(self.resolve(name))
+        return {"number of rows inserted": seen.get["n"]}
 
     def update(self, name: str, changes: dict[str, Column], where: Column) -> dict[str, int]:
         before = self.table(name)
@@ -159,6 +180,17 @@ class Session(Variables):
             found = self.spark.createDataFrame([], "tableName string")
         return found.select(F.col("tableName").alias("name"), F.lit("TABLE").alias("kind"))
 
+    def views(self) -> DataFrame:
+        """name and kind of the current schema's views."""
+        here = f"`{self.database}__{self.schema}`."
+        return self.spark.createDataFrame([(v.removeprefix(here).strip("`"), "VIEW") for v in self.viewed if v.startswith(here)], "name string, kind string")
+
+    def columns(self) -> DataFrame:
+        """table_name, column_name, ordinal_position, data_type and is_nullable of the current schema's tables and views."""
+        names = [r.name for r in self.tables().union(self.views()).collect()]
+        rows = [(n, f.name, k, type_name(f.dataType), "YES" if f.nullable else "NO") for n in names for k, f in enumerate(self.table(n).schema, 1)]
+        return self.spark.createDataFrame(rows, "table_name string, column_name string, ordinal_position int, data_type string, is_nullable string")
+
     def context(self) -> DataFrame:
         """What CURRENT_DATABASE() and its like give."""
         values = {"current_database": self.database, "current_schema": self.schema, "current_role": self.role, "current_warehouse": self.warehouse}

@@ -119,30 +119,29 @@ def join_01_08_inner_many(t, *_):
     return buyers.join(t("orders"), F.col("c_custkey") == F.col("o_custkey")).join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("c_custkey", "o_orderkey", "l_linenumber")
 
 
-def _sides(t):
-    return t("customer").where("c_custkey % 3 = 0").select("c_custkey"), t("orders").where("o_orderkey % 5 = 0").select("o_custkey", "o_orderkey"), F.col("c_custkey") == F.col("o_custkey")
+def _outer(kind: str) -> str:
+    return f"SELECT c_custkey, o_custkey, o_orderkey FROM customer {kind} JOIN orders ON c_custkey = o_custkey AND c_mktsegment = 'BUILDING'"
 
 
-def _outer(kind: str) -> str:
-    return f"SELECT c_custkey, o_custkey, o_orderkey FROM (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) {kind} JOIN (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 5 = 0) ON c_custkey = o_custkey"
+def _joined(t, how: str):
+    """All customers and all orders; customers of another segment match nothing."""
+    on = (F.col("c_custkey") == F.col("o_custkey")) & (F.col("c_mktsegment") == "BUILDING")
+    return t("customer").join(t("orders"), on, how).select("c_custkey", "o_custkey", "o_orderkey")
 
 
 @query(_outer("LEFT"))
 def join_02_left(t, *_):
-    a, b, on = _sides(t)
-    return a.join(b, on, "left")
+    return _joined(t, "left")
 
 
 @query(_outer("RIGHT"))
 def join_02_right(t, *_):
-    a, b, on = _sides(t)
-    return a.join(b, on, "right")
+    return _joined(t, "right")
 
 
 @query(_outer("FULL"))
 def join_02_full(t, *_):
-    a, b, on = _sides(t)
-    return a.join(b, on, "full")
+    return _joined(t, "full")
 
 
 def _outer_whole(kind: str) -> str:
@@ -203,11 +202,12 @@ def join_09_asof(t, *_):
     return out.select("event_id", "right_event_id", "right_ts")
 
 
-@query("SELECT a.p_partkey AS a, b.s_suppkey AS b FROM (SELECT p_partkey, CASE WHEN p_size > 25 THEN NULL ELSE p_size END AS x FROM part) a JOIN (SELECT s_suppkey, CASE WHEN s_nationkey > 20 THEN NULL ELSE s_nationkey END AS y FROM supplier WHERE s_suppkey <= 20) b ON a.x IS NOT DISTINCT FROM b.y")
+@query("SELECT x AS key, parts, suppliers FROM (SELECT CASE WHEN p_size > 25 THEN NULL ELSE p_size END AS x, count(*) AS parts FROM part GROUP BY 1) a JOIN (SELECT CASE WHEN s_nationkey > 20 THEN NULL ELSE s_nationkey END AS y, count(*) AS suppliers FROM supplier GROUP BY 1) b ON a.x IS NOT DISTINCT FROM b.y")
 def join_10_null_safe(t, *_):
-    a = t("part").select(F.col("p_partkey").alias("a"), F.when(F.col("p_size") <= 25, F.col("p_size")).alias("x"))
-    b = t("supplier").where("s_suppkey <= 20").select(F.col("s_suppkey").alias("b"), F.when(F.col("s_nationkey") <= 20, F.col("s_nationkey")).alias("y"))
-    return rel.null_safe_join(a, b, "x", "y").select("a", "b")
+    """How many parts and suppliers have each key, null too; both sides are counted first, so no pairs are made."""
+    a = t("part").groupBy(F.when(F.col("p_size") <= 25, F.col("p_size")).alias("x")).agg(F.count("*").alias("parts"))
+    b = t("supplier").groupBy(F.when(F.col("s_nationkey") <= 20, F.col("s_nationkey")).alias("y")).agg(F.count("*").alias("suppliers"))
+    return rel.null_safe_join(a, b, "x", "y").select(F.col("x").alias("key"), "parts", "suppliers")
 
 
 @query("SELECT p_partkey, n AS suppliers FROM (SELECT p_partkey, CASE WHEN p_size > 25 THEN NULL ELSE p_size END AS x FROM part) a JOIN (SELECT CASE WHEN s_nationkey > 20 THEN NULL ELSE s_nationkey END AS y, count(*) AS n FROM supplier GROUP BY 1) b ON a.x IS NOT DISTINCT FROM b.y")
@@ -228,7 +228,7 @@ def agg_01_02_basic(t, *_):
 
 @query("SELECT p_brand, median(p_size) AS med, quantile_cont(p_size, 0.25) AS q, quantile_disc(p_size, 0.25) AS qd FROM part GROUP BY p_brand")
 def agg_03_12_13_percentiles(t, *_):
-    return t("part").groupBy("p_brand").agg(F.median("p_size").alias("med"), agg.percentile_cont(F.col("p_size"), 0.25).alias("q"), agg.percentile_disc(F.col("p_size"), 0.25).cast("int").alias("qd"))
+    return t("part").groupBy("p_brand").agg(F.median("p_size").alias("med"), agg.percentile_cont(F.col("p_size"), 0.25).alias("q"), agg.percentile_disc("p_size", 0.25).cast("int").alias("qd"))
 
 
 @query("SELECT p_brand, min(p_size) AS m FROM (SELECT *, max(n) OVER (PARTITION BY p_brand) AS top FROM (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY p_brand, p_size)) WHERE n = top GROUP BY p_brand")
@@ -253,7 +253,24 @@ def agg_07_approx_count_distinct(t, *_):
 
 @query("SELECT n_regionkey, '{' || string_agg('\"' || n_name || '\":' || n_nationkey, ',' ORDER BY n_name) || '}' AS o FROM nation GROUP BY n_regionkey")
 def agg_09_object_agg(t, *_):
-    return t("nation").groupBy("n_regionkey").agg(agg.object_agg(F.col("n_name"), F.col("n_nationkey")).alias("o"))
+    return agg.object_agg(t("nation"), ["n_regionkey"], F.col("n_name"), F.col("n_nationkey"), "o")
+
+
+@query("SELECT c_nationkey, '{' || coalesce(string_agg('\"' || k || '\":' || v, ',' ORDER BY k) FILTER (WHERE k IS NOT NULL AND v IS NOT NULL), '') || '}' AS o FROM (SELECT c_nationkey, nullif(c_mktsegment, 'BUILDING') AS k, max(CASE WHEN c_acctbal > 0 THEN c_custkey END) AS v FROM customer GROUP BY ALL) GROUP BY c_nationkey")
+def agg_09_object_agg_repeated(t, *_):
+    """Keys that repeat and keys and values that are null."""
+    return agg.object_agg(t("customer"), ["c_nationkey"], F.nullif("c_mktsegment", F.lit("BUILDING")), F.when(F.col("c_acctbal") > 0, F.col("c_custkey")), "o")
+
+
+@query("SELECT p_brand, quantile_disc(p_size * 2 + 1, 0.4) AS qd FROM part GROUP BY p_brand")
+def agg_13_percentile_disc_expression(t, *_):
+    return t("part").withColumn("twice", F.col("p_size") * 2 + 1).groupBy("p_brand").agg(agg.percentile_disc("twice", 0.4).cast("int").alias("qd"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(trunc(CAST(l_extendedprice AS DECIMAL(18,2))) AS BIGINT) AS whole, l_partkey - l_partkey % 100 AS hundreds, trunc(CAST(l_extendedprice AS DECIMAL(18,2)) * 10) / 10 AS tenths FROM lineitem")
+def num_03_trunc_exact(t, *_):
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    return t("lineitem").select("l_orderkey", "l_linenumber", d.trunc(price).cast("long").alias("whole"), d.trunc("l_partkey", -2).alias("hundreds"), d.trunc(price, 1).cast("double").alias("tenths"))
 
 
 @query("SELECT c_mktsegment, round(stddev_samp(c_acctbal), 4) AS s, round(stddev_pop(c_acctbal), 4) AS sp, round(var_samp(c_acctbal) / 1e6, 6) AS v, round(var_pop(c_acctbal) / 1e6, 6) AS vp, round(kurtosis(c_acctbal), 5) AS k, round(skewness(c_acctbal), 5) AS w, round(covar_pop(c_acctbal, c_nationkey), 3) AS cp, round(covar_samp(c_acctbal, c_nationkey), 3) AS cs, round(corr(c_acctbal, c_nationkey), 6) AS r FROM customer GROUP BY c_mktsegment")

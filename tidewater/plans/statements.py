@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import dialect
@@ -76,17 +78,45 @@ def src_15_ndjson(t, spark, _):
 
 @query("SELECT event_id, user_id, event_type FROM events")
 def strm_02_append_rows(t, spark, _):
-    """All events as files that land, taken in by a stream."""
+    """All events, appended by two channels; one batch is sent twice and counts once, a stale writer lands nothing."""
     rows = t("events").select("event_id", "user_id", "event_type")
     pipe = channels.Pipe(spark, stages.scratch(spark, "pipe"), rows.schema)
-    token = pipe.open("c1")
-    pipe.append(token, [], "o0")
-    landed = rows.select("*", F.lit("c1").alias("__channel"), F.lit("o1").alias("__offset"), F.col("event_id").alias("__row"))
-    landed.write.mode("append").json(f"{pipe.folder}/landing")
-    landed.write.mode("append").json(f"{pipe.folder}/landing")  # sent again, and counted once
+    clicks = F.coalesce(F.col("event_type") == "click", F.lit(False))
+    stale, token, other = pipe.open("c1"), pipe.open("c1"), pipe.open("c2")
+    try:
+        pipe.append(stale, rows, "o0")
+    except channels.StaleToken:
+        pipe.append(token, rows.where(clicks), "o1")
+    pipe.append(token, rows.where(clicks), "o1")
+    pipe.drain()
+    pipe.append(other, rows.where(~clicks), "o1")
     return pipe.drain()
 
 
+@query("SELECT * FROM (SELECT 'c1' AS channel, 2 AS sequencer, 'o2' AS offset, 2 AS appends, count(*) AS rows FROM events UNION ALL SELECT 'c2', 1, 'begin', 0, 0)")
+def strm_01_03_04_05_channels(t, spark, _):
+    """The state of channels after opening twice, appending under offset tokens, and dropping one."""
+    rows = t("events").select("event_id", "event_type")
+    pipe = channels.Pipe(spark, stages.scratch(spark, "pipe"), rows.schema)
+    pipe.open("c1")
+    token = pipe.open("c1")
+    pipe.open("c2", "begin")
+    pipe.open("c3")
+    pipe.drop("c3")
+    clicks = F.coalesce(F.col("event_type") == "click", F.lit(False))
+    pipe.append(token, rows.where(clicks), "o1")
+    pipe.append(token, rows.where(~clicks), "o2")
+    return pipe.channels().select("channel", "sequencer", "offset", F.col("appends").cast("int").alias("appends"), "rows")
+
+
+@query("SELECT start, event_type, count(*) AS n, sum(CAST(value AS DECIMAL(18,6))) AS total FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR * k AS start, event_type, value FROM events, (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2)) GROUP BY ALL")
+def strm_09_sliding(t, spark, sf_dir):
+    """Windows of three hours, every hour, over a stream."""
+    events = spark.readStream.schema(t("events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = channels.windowed_counts(events, "ts", "3 hours", "event_type", value="value", slide="1 hour")
+    return channels.run_to_table(counts, stages.scratch(spark, "windows")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, sum(CAST(value AS DECIMAL(18,6))) AS total FROM events GROUP BY ALL")
 def strm_09_tumbling(t, spark, sf_dir):
     events = spark.readStream.schema(t("events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -113,6 +143,56 @@ def ddl_12_variables(t, *_):
     return t("orders").where((F.col("o_totalprice") > values.variable("LIMIT")) & (F.col("o_orderpriority") == values.variable("priority"))).select("o_orderkey")
 
 
+def _session(spark) -> session.Session:
+    """A database of its own, so that queries of one catalogue don't meet."""
+    return session.Session(spark, f"Q{uuid.uuid4().hex}")
+
+
+@query("SELECT n_nationkey, upper(n_name) AS n_name, CAST(NULL AS INTEGER) AS n_regionkey FROM nation UNION ALL SELECT r_regionkey + 100, upper(r_name), r_regionkey FROM region")
+def ddl_01_09_tables(t, spark, _):
+    """Databases, schemas, CREATE [OR REPLACE] TABLE AS, TRUNCATE, ADD and DROP COLUMN, and a view of the result."""
+    s = _session(spark)
+    s.use_schema("work")
+    s.save("n", t("region"))
+    s.truncate("n")
+    s.save("n", t("nation").select("n_nationkey", "n_name"))
+    s.add_column("n", "more", "string")
+    s.drop_column("n", "more")
+    s.add_column("n", "n_regionkey", "int")
+    s.insert("work.n", t("region").select((F.col("r_regionkey") + 100).alias("n_nationkey"), F.col("r_name").alias("n_name"), F.col("r_regionkey").alias("n_regionkey")))
+    s.save("gone", t("region"))
+    s.drop("gone")
+    s.view("v", s.table("n").withColumn("n_name", F.upper("n_name")))
+    return s.table("work.v")
+
+
+@query("SELECT * FROM (VALUES ('n', 'n_nationkey', 1, 'NUMBER(38,0)'), ('n', 'n_name', 2, 'VARCHAR(16777216)'), ('v', 'r_name', 1, 'VARCHAR(16777216)')) AS v(table_name, column_name, ordinal_position, data_type)")
+def ddl_18_columns(t, spark, _):
+    s = _session(spark)
+    s.save("n", t("nation").select("n_nationkey", "n_name"))
+    s.view("v", t("region").select("r_name"))
+    return s.columns().select("table_name", "column_name", "ordinal_position", "data_type")
+
+
+@query("SELECT coalesce(c_custkey, k) AS c_custkey, CASE WHEN c_custkey IS NULL THEN -1 WHEN k IS NOT NULL THEN n ELSE bal END AS c_acctbal FROM (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS bal FROM customer WHERE NOT c_mktsegment = 'BUILDING') c FULL JOIN (SELECT o_custkey * 2 AS k, count(*) AS n FROM orders GROUP BY 1) o ON c_custkey = k")
+def dml_02_04_stored(t, spark, _):
+    """UPDATE, DELETE and MERGE of a stored table."""
+    s = _session(spark)
+    s.save("c", t("customer").select("c_custkey", "c_mktsegment", "c_acctbal"))
+    s.update("c", {"c_acctbal": F.lit(0)}, F.col("c_acctbal") < 0)
+    s.delete("c", F.col("c_mktsegment") == "BUILDING")
+    source = t("orders").groupBy((F.col("o_custkey") * 2).alias("k")).agg(F.count("*").alias("n"))
+    merge = dml.Merge(s.table("c"), source, F.col("t.c_custkey") == F.col("s.k")).when_matched_update({"c_acctbal": F.col("s.n")})
+    s.merge("c", merge.when_not_matched_insert({"c_custkey": F.col("s.k"), "c_acctbal": F.lit(-1)}))
+    return s.table("c").select("c_custkey", "c_acctbal")
+
+
+@query("SELECT p_partkey, CAST(make_time(p_size % 24, p_size, 59) AS VARCHAR) AS clock FROM part")
+def dt_15_time_from_parts(t, spark, _):
+    spark.conf.set("spark.sql.timeType.enabled", "true")
+    return t("part").select("p_partkey", dialect.time_from_parts(F.col("p_size") % 24, "p_size", F.lit(59).cast("decimal(16,6)")).cast("string").alias("clock"))
+
+
 @query()
 def str_17_soundex(t, *_):
     return t("part").select("p_partkey", F.soundex("p_name").alias("code"))
