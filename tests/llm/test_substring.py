@@ -42,7 +42,7 @@ def passages(seed=5, count=40):
     return out
 
 
-@pytest.mark.parametrize(("shard", "split"), [(12_000, 4_000), (20, 3)])
+@pytest.mark.parametrize(("shard", "split"), [(4_000, 1_000), (20, 3)])
 def test_op4_against_brute_force(spark, sf, monkeypatch, shard, split):
     monkeypatch.setattr(substring, "SHARD", shard)
     monkeypatch.setattr(substring, "SPLIT", split)

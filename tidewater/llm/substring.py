@@ -17,7 +17,7 @@ from .words import GOLD, HASHED, chain, new_key, pair, words
 #: Words of a window, and of an anchor in it.
 LENGTH, GRAM = 50, 16
 #: Segments of a shard, and segments of one anchor beyond which it is dealt out to several shards.
-SHARD, SPLIT = 12_000, 4_000
+SHARD, SPLIT = 4_000, 1_000
 RUNS = "array<struct<from: int, count: int, first: long, window: long>>"
 
 
