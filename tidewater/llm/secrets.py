@@ -96,7 +96,7 @@ class Ledger:
     def unseen(self, versions: DataFrame) -> DataFrame:
         """blob_id and content of the blobs that the ledger lacks under these rules, each once."""
         blobs = versions.select(_blob_id().alias("blob_id"), F.coalesce("content", F.lit("")).alias("content"))
-        return blobs.join(self.known().select("blob_id"), "blob_id", "left_anti").dropDuplicates(["blob_id"])
+        return blobs.dropDuplicates(["blob_id"]).join(self.known().select("blob_id"), "blob_id", "left_anti")
 
     def update(self, versions: DataFrame) -> None:
         """Scans what is unseen and appends it; a blob without findings gets an empty list."""
