@@ -197,3 +197,20 @@ def test_a_missing_module_is_not_taken_for_a_missing_subpackage():
 
     code = "import sys; sys.modules['tokenizers'] = sys.modules['ahocorasick'] = None; import __spark_entry__"
     assert b"ahocorasick" in subprocess.run([sys.executable, "-c", code], cwd=contract.__file__.rpartition("/")[0], capture_output=True).stderr or not contract.corpus_pipeline
+
+
+def test_sample_is_about_a_tenth(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    got = contract.queries()["rel_15_sample"](spark, sf)
+    assert 0.05 < got.count() / orders.count() < 0.15 and got.join(orders, "o_orderkey", "left_anti").isEmpty()
+
+
+def test_write_pandas_and_listings(spark):
+    s = Session(spark, "frames")
+    s.save("t", spark.createDataFrame([], "id long, name string"))
+    assert s.write_pandas("t", pd.DataFrame({"x": [1, 2, 3], "y": ["a", None, "c"]})) == (True, 1, 3, [])
+    assert s.write_pandas("t", pd.DataFrame({"x": [], "y": []})) == (True, 1, 0, [])
+    assert sorted(map(tuple, s.table("t").collect())) == [(1, "a"), (2, None), (3, "c")]
+    s.create_schema("more")
+    assert sorted(r.name for r in s.schemas().collect()) == ["MORE", "PUBLIC"]
+    assert [tuple(r) for r in s.objects().collect()] == [("t", "TABLE")]

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.stages import seed
 from . import dml
 
 DESCRIBED = ("name", "type", "kind", "null?", "default", "primary key", "unique key", "check", "expression", "comment", "policy name", "privacy domain")
@@ -144,6 +146,14 @@ class Session(Variables):
         dml.insert(self.table(name).limit(0), rows).observe(seen, F.count(F.lit(1)).alias("n")).write.insertInto(self.resolve(name))
         return {"number of rows inserted": seen.get["n"]}
 
+    def write_pandas(self, name: str, frame: pd.DataFrame) -> tuple[bool, int, int, list]:
+        """Inserts a frame's rows by place: success, chunks, rows, and no further output. An empty frame adds nothing."""
+        added = 0
+        if len(frame):
+            rows = seed(self.spark, frame)
+            added = self.insert(name, rows.toDF(*self.table(name).columns))["number of rows inserted"]
+        return True, 1, added, []
+
     def update(self, name: str, changes: dict[str, Column], where: Column) -> dict[str, int]:
         before = self.table(name)
         found = dml.counts(before, "updated", where)
@@ -172,6 +182,15 @@ class Session(Variables):
     def databases(self) -> DataFrame:
         return self.namespaces().select(F.col("database_name").alias("name")).distinct()
 
+    def schemas(self) -> DataFrame:
+        """name and database_name of the current database's schemas."""
+        here = self.namespaces().where(F.col("database_name") == self.database.upper())
+        return here.select(F.col("schema_name").alias("name"), "database_name")
+
+    def objects(self) -> DataFrame:
+        """name and kind of the current schema's tables and views."""
+        return self.tables().union(self.views())
+
     def tables(self) -> DataFrame:
         """name and kind of what stands in the current schema."""
         try:
@@ -187,7 +206,7 @@ class Session(Variables):
 
     def columns(self) -> DataFrame:
         """table_name, column_name, ordinal_position, data_type and is_nullable of the current schema's tables and views."""
-        names = [r.name for r in self.tables().union(self.views()).collect()]
+        names = [r.name for r in self.objects().collect()]
         rows = [(n, f.name, k, type_name(f.dataType), "YES" if f.nullable else "NO") for n in names for k, f in enumerate(self.table(n).schema, 1)]
         return self.spark.createDataFrame(rows, "table_name string, column_name string, ordinal_position int, data_type string, is_nullable string")
 

@@ -110,6 +110,29 @@ def rel_15_unpivot(t, *_):
     return rows.unpivot("s_suppkey", ["a", "b"], "k", "v")
 
 
+def _years(table: str) -> str:
+    return f"WITH RECURSIVE years(y, last) AS (SELECT min(year(o_orderdate)), max(year(o_orderdate)) FROM {table} UNION ALL SELECT y + 1, last FROM years WHERE y < last)"
+
+
+@query(_years("orders") + " SELECT y, n FROM years LEFT JOIN (SELECT year(o_orderdate) AS oy, count(*) AS n FROM orders WHERE o_totalprice > 400000 GROUP BY 1) ON y = oy")
+def rel_15_recursive_cte(t, spark, _):
+    """Every year from the first order to the last, with the number of its large orders; only years are recursive."""
+    years = spark.sql(_years("{orders}") + " SELECT y FROM years", orders=t("orders"))
+    large = t("orders").where("o_totalprice > 400000").groupBy(F.year("o_orderdate").alias("oy")).agg(F.count("*").alias("n"))
+    return years.join(large, F.col("y") == F.col("oy"), "left").select("y", "n")
+
+
+@query("SELECT * EXCLUDE (o_totalprice, o_orderdate, o_orderpriority) FROM orders")
+def rel_15_exclude(t, *_):
+    return t("orders").drop("o_totalprice", "o_orderdate", "o_orderpriority")
+
+
+@query()
+def rel_15_sample(t, *_):
+    """About a tenth of all orders; a sample has no values to compare."""
+    return t("orders").sample(0.1, seed=15).select("o_orderkey")
+
+
 # --- joins ---
 
 
@@ -195,6 +218,13 @@ def join_06_using(t, *_):
     return t("nation").select(F.col("n_nationkey").alias("k"), "n_name").join(t("supplier").select(F.col("s_nationkey").alias("k"), "s_suppkey"), "k")
 
 
+@query("SELECT n_name, c_custkey FROM nation, LATERAL (SELECT c_custkey FROM customer WHERE c_nationkey = n_nationkey ORDER BY c_acctbal DESC, c_custkey LIMIT 2)")
+def join_07_lateral(t, *_):
+    """The two richest customers of each nation, by a subquery that looks at the nation's row."""
+    richest = t("customer").where(F.col("c_nationkey") == F.col("n_nationkey").outer()).orderBy(F.desc("c_acctbal"), "c_custkey").limit(2)
+    return t("nation").lateralJoin(richest.select("c_custkey")).select("n_name", "c_custkey")
+
+
 @query("SELECT e.event_id, r.event_id AS right_event_id, r.ts AS right_ts FROM (SELECT * FROM events WHERE event_type = 'error') e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'signup' GROUP BY ALL) r ON e.user_id = r.user_id AND e.ts >= r.ts")
 def join_09_asof(t, *_):
     right = t("events").where("event_type = 'signup'").groupBy("user_id", "ts").agg(F.max("event_id").alias("event_id"))

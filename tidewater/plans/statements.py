@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import dialect
@@ -187,6 +188,31 @@ def dml_02_04_stored(t, spark, _):
     return s.table("c").select("c_custkey", "c_acctbal")
 
 
+@query("SELECT CAST(s_suppkey AS BIGINT) AS id, s_name AS name FROM supplier UNION ALL SELECT * FROM (VALUES (-1, 'x'), (-2, NULL)) AS v(id, name)")
+def src_13_write_pandas(t, spark, _):
+    """Rows of a pandas frame go into a stored table by place."""
+    s = _session(spark)
+    s.save("sup", t("supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.col("s_name").alias("name")))
+    s.write_pandas("sup", pd.DataFrame({"a": [-1, -2], "b": ["x", None]}))
+    return s.table("sup")
+
+
+@query("SELECT * FROM (VALUES ('SCHEMA', 'PUBLIC'), ('SCHEMA', 'WORK'), ('TABLE', 'n'), ('VIEW', 'v')) AS x(kind, name)")
+def ddl_15_18_show(t, spark, _):
+    """Schemas of the current database, and what stands in the current schema."""
+    s = _session(spark)
+    s.use_schema("work")
+    s.save("n", t("nation"))
+    s.view("v", t("region"))
+    return s.schemas().select(F.lit("SCHEMA").alias("kind"), "name").union(s.objects().select("kind", "name"))
+
+
+@query("SELECT r_regionkey, 'SALES' AS current_database, 'EU' AS current_schema, 'SYSADMIN' AS current_role, 'DEFAULT_WAREHOUSE' AS current_warehouse FROM region")
+def sys_01_context(t, spark, _):
+    """What a session stands in, beside the rows of a table."""
+    return t("region").select("r_regionkey").crossJoin(session.Session(spark, "sales", "eu").context())
+
+
 @query("SELECT p_partkey, CAST(make_time(p_size % 24, p_size, 59) AS VARCHAR) AS clock FROM part")
 def dt_15_time_from_parts(t, spark, _):
     spark.conf.set("spark.sql.timeType.enabled", "true")
