@@ -75,3 +75,40 @@ def test_hilbert_walks_from_neighbour_to_neighbour():
         order = grid[np.argsort(packing.hilbert(grid, bits))]
         assert sorted(packing.hilbert(grid, bits)) == list(range(len(grid)))
         assert (np.abs(np.diff(order, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_forgetting_changes_no_ids():
+    """A memory that is full time and again gives the ids of one that holds everything."""
+    from tidewater.llm.tokens import Remembered
+
+    rng = np.random.default_rng(3)
+    calls = []
+
+    def encode(strings):
+        calls.extend(strings)
+        return strings[::-1], np.array([ord(c) for x in strings[::-1] for c in x], np.uint32), np.array([len(x) for x in strings[::-1]], np.int64)
+
+    memory = Remembered(encode, 40)
+    for k in range(60):
+        strings = ["the", "of", *{f"w{n}" for n in rng.integers(0, 10 + 5 * k, 25).tolist()}, ""]
+        numbers = memory(strings)
+        got = ["".join(map(chr, memory.ids[a:b])) for a, b in zip(memory.ends[numbers], memory.ends[numbers + 1])]
+        assert got == strings and len(memory.numbers) == len(memory.ends) - 1 == len(memory.again) <= 40 + len(strings)
+    assert calls.count("the") == 1 and len(calls) > 400
+
+
+def test_repeated_and_null_ids(spark, monkeypatch):
+    """Each row is a document of its own, whatever its id; the last sequence's mask covers its ids alone."""
+    texts = ["a b c", "a b c", None, "", "x y z " * 900, "q"]
+    docs = frame(spark, texts, [7, 7, None, None, 3, 9])
+    want = sorted((len(x) + 1, crc([*x, 1])) for x in whole(texts))
+    pieces = packing.pack_documents(docs, vocabulary(BYTES)).collect()
+    assert sum(r.length for r in pieces) == sum(n for n, _ in want) and {r.doc_id for r in pieces} == {7, None, 3, 9}
+    assert sorted((r.doc_tokens, r.ids_crc32) for r in pieces if r.length == r.doc_tokens) == [w for w in want if w in {(r.doc_tokens, r.ids_crc32) for r in pieces}]
+    notes = arrowfile.write(docs, arrowfile.folder(spark), vocabulary(BYTES), 2)
+    got = arrowfile.digests(notes).collect()
+    assert sorted((r.n_tokens, r.ids_crc32) for r in got) == sorted((len(x) + 1, crc([*x, 2])) for x in whole(texts))
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens

@@ -150,7 +150,7 @@ class Encoder:
 
     def __init__(self, path: str, lexicon: str) -> None:
         self.bpe, self.lexicon = word_bpe(path), Lexicon(lexicon)
-        self.known = Remembered(self._new)
+        self.known = Remembered(self._new, 600_000)
         self.tokens = pa.array(self.bpe.token, pa.large_string())
 
     def _new(self, strings: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 
@@ -49,35 +50,51 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple
 
 
 class Remembered:
-    """The ids of each distinct string met so far, about `keep` strings at most.
+    """The ids of distinct strings met so far, about `keep` strings at most.
 
+    Beyond that, strings that were met in one batch only are forgotten first; the others go too if they fill half of it.
     encode(list of strings) gives (the strings in some order, ids of all of them, how many each has).
     """
 
-    def __init__(self, encode, keep: int = 600_000) -> None:
+    def __init__(self, encode, keep: int = 1_200_000) -> None:
         self.encode, self.keep = encode, keep
         self._forget()
 
     def _forget(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64)
+        self.ids, self.ends, self.again = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), np.zeros(0, bool)
+
+    def _forget_rare(self) -> None:
+        """Keeps what was met again, with new numbers; it has to be met once more to stay the next time."""
+        stay, lengths = np.flatnonzero(self.again), np.diff(self.ends)
+        if len(stay) > self.keep // 2:
+            self._forget()
+            return
+        strings = list(self.numbers)  # numbers follow the order of insertion
+        ids, ends = gather(self.ids, self.ends[:-1][stay], lengths[stay])
+        self.numbers = {strings[k]: n for n, k in enumerate(stay.tolist())}
+        self.ids, self.ends, self.again = ids, np.concatenate([[0], ends]), np.zeros(len(stay), bool)
 
     def __call__(self, strings: list[str]) -> np.ndarray:
         """A number for each string, for `self.ends` and `self.ids`."""
         if len(self.numbers) > self.keep:
-            self._forget()
-        known = self.numbers
-        new = [x for x in strings if x not in known]
+            self._forget_rare()
+        known, old = self.numbers, len(self.numbers)
+        numbers = np.fromiter(map(known.get, strings, itertools.repeat(-1)), np.int64, len(strings))
+        self.again[numbers[numbers >= 0]] = True
+        missing = np.flatnonzero(numbers < 0)
+        new = [strings[k] for k in missing.tolist()]
         for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            part, ids, lengths = self.encode(part)
+            part, ids, lengths = self.encode(new[at : at + 50_000])
             known.update(zip(part, range(len(known), len(known) + len(part)), strict=True))
             end = int(self.ends[-1])
             while end + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), 1 << 16), np.uint32)])
             self.ids[end : end + len(ids)] = ids
             self.ends = np.concatenate([self.ends, end + np.cumsum(lengths)])
-        return np.fromiter(map(known.__getitem__, strings), np.int64, len(strings))
+        numbers[missing] = np.fromiter(map(known.__getitem__, new), np.int64, len(new))
+        self.again = np.concatenate([self.again, np.zeros(len(known) - old, bool)])
+        return numbers
 
 
 class PieceEncoder:
@@ -105,14 +122,15 @@ class PieceEncoder:
         """Pieces that begin with a space and end visibly go to the library one after the other, in long texts that are
         cut again by the bytes of their ids; others, and all beside a special token's string, go one by one."""
         alone = [not (x[:1] == " " and not x[-1].isspace()) for x in strings]
-        if any(s in x for s in self.special for x in strings):
+        beside = "\n".join(strings)  # no special token has a line end
+        if any(s in beside for s in self.special):
             alone = [True] * len(strings)
         inner = [x for x, a in zip(strings, alone, strict=True) if not a]
         texts = ["".join(inner[at : at + JOINED]) for at in range(0, len(inner), JOINED)]
         ids = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         ids = np.concatenate([*ids, np.zeros(0, np.uint32)])
         ends = np.cumsum(self.bytes[ids])
-        wanted = np.cumsum(np.array([len(x.encode()) for x in inner], np.int64))
+        wanted = np.cumsum(pc.binary_length(pa.array(inner, pa.large_string())).to_numpy(zero_copy_only=False).astype(np.int64))
         counts = np.searchsorted(ends, wanted) + 1
         if len(wanted) and not (ends[counts - 1] == wanted).all():
             raise ValueError("an id goes over the edge of a piece")
