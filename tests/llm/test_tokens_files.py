@@ -94,7 +94,7 @@ def test_forgetting_changes_no_ids():
         numbers = memory(strings)
         got = ["".join(map(chr, memory.ids[a:b])) for a, b in zip(memory.ends[numbers], memory.ends[numbers + 1])]
         assert got == strings and len(memory.numbers) == len(memory.ends) - 1 == len(memory.again) <= 40 + len(strings)
-    assert calls.count("the") == 1 and len(calls) > 400
+    assert calls.count("the") < 6 and len(calls) > 400  # early on, all that was met again is over half of the memory
 
 
 def test_repeated_and_null_ids(spark, monkeypatch):

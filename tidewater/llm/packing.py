@@ -52,12 +52,13 @@ def hilbert(grid: np.ndarray, bits: int = BITS) -> np.ndarray:
 def curve_key(ids: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
     """A Hilbert key for each document: the mean of its ids' projections, in cells of the curve."""
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    lengths = np.maximum(ends - starts, 1)
+    lengths, some = np.maximum(ends - starts, 1), ends > starts
     grid = np.zeros((len(ends), len(table)), np.int64)
     for d, row in enumerate(table):
-        sums = np.concatenate([[0.0], np.cumsum(row[ids], dtype=np.float64)])
-        mean = (sums[ends] - sums[starts]) / lengths
-        grid[:, d] = np.clip((mean / REACH + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1)
+        sums = np.zeros(len(ends))
+        if some.any():
+            sums[some] = np.add.reduceat(row[ids], starts[some], dtype=np.float64)
+        grid[:, d] = np.clip((sums / lengths / REACH + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1)
     return hilbert(grid)
 
 
