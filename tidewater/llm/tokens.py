@@ -42,6 +42,11 @@ def pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
 
 
+def listed(strings: pa.Array) -> list[str]:
+    """What to_pylist() gives for strings without nulls, several times as fast."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
 def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """values[start : start + length] of all rows, one after the other, and where each row ends."""
     ends = np.cumsum(lengths)
@@ -145,7 +150,7 @@ class PieceEncoder:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         cut, counts = pieces(texts)
         cut = cut.dictionary_encode()
-        numbers = self.known(cut.dictionary.to_pylist())[cut.indices.to_numpy()]
+        numbers = self.known(listed(cut.dictionary))[cut.indices.to_numpy()]
         ids, piece_ends = gather(self.known.ids, self.known.ends[:-1][numbers], np.diff(self.known.ends)[numbers])
         return ids, np.concatenate([[0], piece_ends])[np.cumsum(counts)]
 
