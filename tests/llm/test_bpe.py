@@ -52,3 +52,11 @@ def test_transducer(tmp_path):
     assert (found.numbers(others) == -1).all()
     lexicon.save(lexicon.compile_words([], []), f"{tmp_path}/y/words.bin")
     assert (lexicon.Lexicon(f"{tmp_path}/y/words.bin").numbers([b"a", b""]) == -1).all()
+
+
+def test_repeated_rows_and_very_long_texts(spark):
+    texts = ["a b", "a b", None, "one two three " * 120_000, "y" * 200_000]
+    tokenizer = Tokenizer.from_file(PATH)
+    got = bpe.encode_decode(frame(spark, texts, [4, 4, None, 9, 9]), PATH, 3).collect()
+    want = [(i, len(x.ids), hashlib.sha256(np.array(x.ids, "<u4").tobytes()).hexdigest()) for i, x in zip([4, 4, None, 9, 9], tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False))]
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_sha256) for r in got), key=repr) == sorted(want, key=repr)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ._common import documents, scratch, stored
 from .lexicon import Lexicon, compile_words, save
-from .tokens import Remembered, gather, rows_within
+from .tokens import Remembered, gather, listed, rows_within
 
 #: Words of a lexicon at most, from the most frequent ones of all documents. Others are merged.
 ENTRIES = 40_000
@@ -188,14 +188,14 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         lists = pc.split_pattern(texts.cast(pa.large_string()), " ")
         cut = lists.flatten().dictionary_encode()
-        numbers = self.known(cut.dictionary.to_pylist())[cut.indices.to_numpy()]
+        numbers = self.known(listed(cut.dictionary))[cut.indices.to_numpy()]
         ids, ends = gather(self.known.ids, self.known.ends[:-1][numbers], np.diff(self.known.ends)[numbers])
         return ids, np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
         """The tokens of each text, joined by spaces, as files without a decoder have it."""
-        offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
-        return pc.binary_join(pa.ListArray.from_arrays(offsets, self.tokens.take(pa.array(ids))), pa.scalar(" ", pa.large_string()))
+        offsets = pa.array(np.concatenate([[0], ends]), pa.int64())
+        return pc.binary_join(pa.LargeListArray.from_arrays(offsets, self.tokens.take(pa.array(ids))), pa.scalar(" ", pa.large_string()))
 
 
 @functools.lru_cache(maxsize=2)
@@ -210,7 +210,7 @@ def _count_task(path: str):
         for batch in rows_within(batches, 0):
             cut = pc.split_pattern(batch.column(0).cast(pa.large_string()), " ").flatten().value_counts()
             counts: dict[str, int] = {}
-            for piece, times in zip(cut.field(0).to_pylist(), cut.field(1).to_pylist(), strict=True):
+            for piece, times in zip(listed(cut.field(0)), cut.field(1).to_pylist(), strict=True):
                 for word in bpe.words(piece):
                     counts[word] = counts.get(word, 0) + times
             yield pa.record_batch([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
@@ -244,7 +244,11 @@ def build_lexicon(docs: DataFrame, tokenizer: str, entries: int = ENTRIES) -> st
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, entries: int = ENTRIES) -> DataFrame:
-    """doc_id, n_tokens, and digests of ids and of the decoded text of every row. A null text is empty and has no ids."""
+    """doc_id, n_tokens, and digests of ids and of the decoded text of every row.
+
+    A null text is empty and has no ids; repeated rows are documents of their own, whatever their id; a text is encoded
+    whole in one batch, however long it is; no rows give none; other columns are left out.
+    """
     lexicon = build_lexicon(docs, tokenizer, entries)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
